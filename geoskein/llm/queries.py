@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from geoskein.llm import quantiles as Q
 from geoskein.llm.canonical import map_to_entries
+from geoskein.llm.components import connected_components
 from geoskein.llm.encoding_repair import garbled_values, repair_records, stack_fields
+from geoskein.llm.place_groups import place_links
 from geoskein.plans.session import cut, table
 
 PLACE_FIELDS = ["neighbourhood_cleansed", "neighbourhood_group_cleansed"]
@@ -110,8 +112,23 @@ where case when field_name = 'price_nightly' then greatest(a, b) > 1.5 * least(a
 """
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of osm_pois with the smallest destination_key of its group."""
+    pois = table(spark, d, "osm_pois")
+    labels = connected_components(place_links(pois)).where("vertex < 'z'")
+    rest = F.expr("substring(vertex, 2)")
+    grouped = labels.select(rest.alias("destination_key"), F.expr("substring(component, 2)").alias("group_key"))
+    return pois.select("destination_key").join(grouped, "destination_key", "left").select("destination_key", F.coalesce("group_key", "destination_key").alias("group_key"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    grouped = cut(p4_groups(spark, d).distinct())
+    several = grouped.groupBy("group_key").count().where("count > 1").select("group_key")
+    return grouped.join(several, "group_key", "left_semi").select("destination_key", "group_key")
+
+
 def queries() -> dict:
-    return {"p1_repaired": p1_repaired, "p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_found": p3_found, "p5_found": p5_found}
+    return {"p1_repaired": p1_repaired, "p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_found": p3_found, "p4_groups": p4_groups, "p4_found": p4_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
