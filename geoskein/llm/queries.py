@@ -9,7 +9,11 @@ from geoskein.llm import quantiles as Q
 from geoskein.llm.canonical import map_to_entries
 from geoskein.llm.components import connected_components
 from geoskein.llm.encoding_repair import garbled_values, repair_records, stack_fields
+from geoskein.llm.mixing import mix, quality_weight, reached_shares
+from geoskein.llm.packing import pack_all
 from geoskein.llm.place_groups import place_links
+from geoskein.llm.reading_level import reading_levels
+from geoskein.llm.tokens import token_counts
 from geoskein.plans.session import cut, table
 
 PLACE_FIELDS = ["neighbourhood_cleansed", "neighbourhood_group_cleansed"]
@@ -30,7 +34,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     typed = stack_fields(table(spark, d, "listings"), "source_row_number", TYPED_FIELDS).where(F.col("value").rlike(r"[^\s\p{Z}]"))
     exact = entries.select("field_name", F.col("canonical_value").alias("value")).distinct()
     distinct = typed.groupBy("field_name", "value").count().join(exact, ["field_name", "value"], "left_anti")
-    garbled = garbled_values(typed.select("value"))
+    garbled = cut(garbled_values(typed.select("value")))
     values = cut(
         distinct.join(garbled, "value", "left").select("field_name", "value", F.coalesce("restored", "value").alias("text"))
     )
@@ -127,8 +131,64 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return grouped.join(several, "group_key", "left_semi").select("destination_key", "group_key")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The document parts of every container of each capacity, with the space the container leaves."""
+    return pack_all(token_counts(table(spark, d, "documents")), table(spark, d, "pack_capacities"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    packed = p7_containers(spark, d)
+    per = packed.groupBy("capacity_id", "capacity_tokens", "container").agg(F.first("space_left").alias("space_left"))
+    return per.groupBy("capacity_id", "capacity_tokens").agg(
+        F.count("*").alias("containers"),
+        F.sum("space_left").alias("space_left"),
+        (1 - F.sum("space_left") / (F.count("*") * F.first("capacity_tokens"))).alias("fill"),
+    )
+
+
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    weights = documents.select("doc_id", "source", quality_weight(F.coalesce("text", F.lit(""))).alias("weight"))
+    return cut(weights.join(token_counts(documents), "doc_id"))
+
+
+def p8_uses(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used."""
+    return mix(_weighted(spark, d), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the mix that each source reaches."""
+    return reached_shares(*mix(_weighted(spark, d), table(spark, d, "mix_targets")))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).where("level >= 3.5").select("doc_id").distinct()
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source and level."""
+    documents = table(spark, d, "documents").select("doc_id", "source")
+    levels = p9_levels(spark, d).select("doc_id", F.least(F.floor(F.col("level") + 0.5), F.lit(5)).alias("reading_level"))
+    return documents.join(levels, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        p1_repaired, p1_found, p3_percentiles, p3_found, p4_groups, p4_found, p5_found,
+        p7_containers, p7_fill, p8_uses, p8_shares, p9_levels, p9_found, p9_profile,
+    )
+}
+
+
 def queries() -> dict:
-    return {"p1_repaired": p1_repaired, "p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_found": p3_found, "p4_groups": p4_groups, "p4_found": p4_found, "p5_found": p5_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
