@@ -1,17 +1,23 @@
 """Directed weighted graphs as DataFrames: segments to arcs, components, nearest source, reach within a budget.
 
-Shortest paths relax a frontier in rounds: only nodes whose distance improved send on, and each round keeps the least
-(distance, key) per node.  Rounds are cut by checkpoints.  No arc ever comes to the driver.
+Shortest paths have two ways with equal results.  A graph of at most ``ARCS_IN_TASK`` arcs, counted first, is broadcast
+as sorted arrays and searched with a heap inside the tasks, one search per seed group.  Beyond that a frontier is
+relaxed in rounds: only nodes whose distance improved send on, and each round keeps the least (distance, key) per
+node; rounds are cut by checkpoints and no arc leaves the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import heapq
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from geoskein.plans.session import cut
+from geoskein.plans.session import cut, ship
 
 # Classes of ways on foot and the values of access tags.
 DEFAULT_WALK = (
@@ -109,11 +115,64 @@ def ranked_components(components: DataFrame) -> DataFrame:
     return sizes.withColumn("component_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("size"), "component")).cast("long"))
 
 
-def nearest_source(arcs_: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), cutoff: float | None = None) -> DataFrame:
+#: Arcs that are broadcast to the tasks (24 bytes each); larger graphs are relaxed in rounds.
+ARCS_IN_TASK = 2_000_000
+
+
+def _heap_search(held: tuple, seeds: list[tuple], cutoff: float | None) -> dict:
+    """node -> (distance, source) from seeds (cost, source, node) over arcs sorted by their end."""
+    nodes, starts, befores, lengths = held
+    at: dict = {}
+    heap = [s for s in seeds if cutoff is None or s[0] <= cutoff]
+    heapq.heapify(heap)
+    while heap:
+        distance, source, node = heapq.heappop(heap)
+        if node in at:
+            continue
+        at[node] = (distance, source)
+        i = int(np.searchsorted(nodes, node))
+        if i == len(nodes) or nodes[i] != node:
+            continue
+        for j in range(starts[i], starts[i + 1]):
+            further = distance + lengths[j]
+            if befores[j] not in at and (cutoff is None or further <= cutoff):
+                heapq.heappush(heap, (further, source, befores[j]))
+    return at
+
+
+def _broadcast_arcs(arcs_: DataFrame):
+    """Arcs, counted by the caller, as sorted arrays in every task."""
+    ship(arcs_.sparkSession)
+    table = arcs_.select("src", "dst", "length_m").toPandas().sort_values(["dst", "src"])
+    nodes, first = np.unique(table["dst"].to_numpy(), return_index=True)
+    starts = np.append(first, len(table))
+    return arcs_.sparkSession.sparkContext.broadcast((nodes, starts, table["src"].tolist(), table["length_m"].tolist()))
+
+
+def _few_arcs(arcs_: DataFrame, most: int) -> bool:
+    return arcs_.schema["src"].dataType.typeName() in ("long", "integer") and arcs_.limit(most + 1).count() <= most
+
+
+def _broadcast_search(arcs_: DataFrame, seeds: DataFrame, keys: list[str], cutoff: float | None) -> DataFrame:
+    held = _broadcast_arcs(arcs_)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = _heap_search(held.value, list(zip(pdf["cost"].tolist(), pdf["source"].tolist(), pdf["node"].tolist())), cutoff)
+        out = pd.DataFrame({"node": list(at), "distance": [v[0] for v in at.values()], "source": [v[1] for v in at.values()]})
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "node", "distance", "source"]]
+
+    schema = T.StructType([*[seeds.schema[k] for k in keys], seeds.schema["node"], T.StructField("distance", T.DoubleType()), seeds.schema["source"]])
+    group = seeds.groupBy(*keys) if keys else seeds.groupBy(F.lit(0).alias("_all"))
+    return group.applyInPandas(run, schema)
+
+
+def nearest_source(arcs_: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), cutoff: float | None = None, arcs_in_task: int = ARCS_IN_TASK) -> DataFrame:
     """(keys..., node, distance, source): for each node the nearest seed along the arcs, travelled from the node to the seed.
 
     ``seeds`` (keys..., node, cost, source).  Equal distances go to the smaller source.  ``cutoff`` prunes the search.
     """
+    if _few_arcs(arcs_, arcs_in_task):
+        return _broadcast_search(arcs_, seeds.withColumn("cost", F.col("cost").cast("double")), list(keys), cutoff)
     by = [*keys, "node"]
     best_of = F.min(F.struct("distance", "source")).alias("best")
     limit = F.lit(True) if cutoff is None else F.col("distance") <= cutoff
@@ -135,14 +194,27 @@ def nearest_source(arcs_: DataFrame, seeds: DataFrame, keys: Sequence[str] = (),
     return best
 
 
-def reach_distances(arcs_: DataFrame, origins: DataFrame, cutoff: float) -> DataFrame:
+def reach_distances(arcs_: DataFrame, origins: DataFrame, cutoff: float, arcs_in_task: int = ARCS_IN_TASK) -> DataFrame:
     """(origin_node, node, distance) for every node within ``cutoff`` of the distinct origin nodes (origin_node)."""
-    seeds = origins.select("origin_node").distinct().select("origin_node", F.col("origin_node").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("source"))
     reverse = arcs_.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m")
-    return nearest_source(reverse, seeds, ["origin_node"], cutoff).drop("source")
+    starts = origins.select("origin_node").distinct()
+    if _few_arcs(arcs_, arcs_in_task):
+        held = _broadcast_arcs(reverse)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for origin in batch["origin_node"].tolist():
+                    at = _heap_search(held.value, [(0.0, 0, origin)], cutoff)
+                    yield pd.DataFrame({"origin_node": origin, "node": list(at), "distance": [v[0] for v in at.values()]})
+
+        node = starts.schema["origin_node"].dataType
+        schema = T.StructType([T.StructField("origin_node", node), T.StructField("node", node), T.StructField("distance", T.DoubleType())])
+        return starts.mapInPandas(run, schema)
+    seeds = starts.select("origin_node", F.col("origin_node").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("source"))
+    return nearest_source(reverse, seeds, ["origin_node"], cutoff, arcs_in_task).drop("source")
 
 
-def reach_counts(arcs_: DataFrame, origins: DataFrame, destinations: DataFrame, radii: Sequence[int] = RADII) -> DataFrame:
+def reach_counts(arcs_: DataFrame, origins: DataFrame, destinations: DataFrame, radii: Sequence[int] = RADII, arcs_in_task: int = ARCS_IN_TASK) -> DataFrame:
     """(id, category, within_<radius>...): destinations whose arrival is at most radius less the origin's connector.
 
     ``origins`` (id, node, snap_m), ``destinations`` (key, category, node, snap_m).  One search per distinct node,
@@ -150,7 +222,7 @@ def reach_counts(arcs_: DataFrame, origins: DataFrame, destinations: DataFrame,
     """
     widest = float(max(radii))
     o = origins.select("id", F.col("node").alias("origin_node"), F.col("snap_m").alias("o_snap")).where(F.col("snap_m") <= widest)
-    reached = reach_distances(arcs_, o, widest)
+    reached = reach_distances(arcs_, o, widest, arcs_in_task)
     arrivals = destinations.join(reached, "node").select("origin_node", "category", "key", (F.col("distance") + F.col("snap_m")).alias("arrival"))
     counted = [F.count_if(F.col("arrival") <= r - F.col("o_snap")).alias(f"within_{r}") for r in radii]
     return o.join(arrivals, "origin_node").groupBy("id", "category").agg(*counted)

@@ -11,11 +11,16 @@ points give repeated pairs.  Ties of nearest neighbours go to the smaller key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoskein.functions import geo
-from geoskein.plans.session import cut
+from geoskein.plans.session import cut, ship
 
 ROWS_PER_SALT = 200_000
 
@@ -50,12 +55,14 @@ def _offsets(reach: int) -> Column:
 def within_distance(
     left: DataFrame, right: DataFrame, radius: float, keys: list[str] | None = None, rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
-    """All pairs at most ``radius`` apart with equal ``keys``.
+    """All pairs at most ``radius`` apart with equal ``keys``; NULL keys are equal to nothing.
 
     ``left`` has (id, x, y, keys...), ``right`` (other_id, other_x, other_y, keys...); other columns of either side
-    come along.  Result: all columns of both and ``distance``.
+    come along, those of the right whose name the left has as well as ``right_<name>``.  Result: all columns of both
+    and ``distance``.
     """
     keys = keys or []
+    right = right.withColumnsRenamed({c: f"right_{c}" for c in right.columns if c in left.columns and c not in keys})
     a = left.where(_usable("x", "y")).withColumn("_cx", geo.cell(F.col("x"), radius)).withColumn("_cy", geo.cell(F.col("y"), radius))
     b = right.where(_usable("other_x", "other_y")).withColumn("_o", F.explode(_offsets(1)))
     b = b.withColumn("_cx", geo.cell(F.col("other_x"), radius) + F.col("_o.dx")).withColumn("_cy", geo.cell(F.col("other_y"), radius) + F.col("_o.dy")).drop("_o")
@@ -66,9 +73,9 @@ def within_distance(
 
 
 def areas_on_grid(areas: DataFrame, size: float) -> DataFrame:
-    """(area_id, _cx, _cy, edges): each area once per grid cell of its bounding box.
+    """(area_id, _cx, _cy, _edges): each area once per grid cell of its bounding box.
 
-    ``edges`` holds only the edges that a ray to the right from the cell can meet or that pass through it, so the test
+    ``_edges`` holds only the edges that a ray to the right from the cell can meet or that pass through it, so the test
     of a point costs the edges in its row of cells, not all of them.  ``areas`` has (area_id, rings).
     """
     edged = areas.select("area_id", geo.ring_edges(F.col("rings")).alias("edges")).where("size(edges) > 0")
@@ -79,21 +86,21 @@ def areas_on_grid(areas: DataFrame, size: float) -> DataFrame:
     rows = rows.withColumn("edges", F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= bottom) & (F.least(e["y1"], e["y2"]) <= top)))
     cells = rows.withColumn("_cx", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
     left = F.col("_cx") * size
-    return cells.withColumn("edges", F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)).where("size(edges) > 0")
+    return cells.withColumn("_edges", F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)).drop("edges").where("size(_edges) > 0")
 
 
 def containing_area(points: DataFrame, areas: DataFrame, size: float = 500.0, boundary: bool = False, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Points (x, y, ...) with each area (area_id, rings) they lie in an odd number of rings of.
 
-    ``boundary``: points on an edge count as covered.  Otherwise an edge belongs to the area above or right of it.
+    A column ``area_id`` of the points gives way to the area's.  ``boundary``: points on an edge count as covered.  Otherwise an edge belongs to the area above or right of it.
     """
-    a = points.where(_usable("x", "y")).withColumn("_cx", geo.cell(F.col("x"), size)).withColumn("_cy", geo.cell(F.col("y"), size))
+    a = points.drop("area_id").where(_usable("x", "y")).withColumn("_cx", geo.cell(F.col("x"), size)).withColumn("_cy", geo.cell(F.col("y"), size))
     a, b, on = salted(a, areas_on_grid(areas, size), ["_cx", "_cy"], rows_per_salt)
-    x, y, edges = F.col("x"), F.col("y"), F.col("edges")
+    x, y, edges = F.col("x"), F.col("y"), F.col("_edges")
     inside = geo.odd_crossings(x, y, edges)
     if boundary:
         inside = inside | F.exists(edges, lambda e: geo.on_edge(x, y, e))
-    return a.join(b, on).where(inside).drop("_cx", "_cy", "_salt", "edges")
+    return a.join(b, on).where(inside).drop("_cx", "_cy", "_salt", "_edges")
 
 
 def area_edges(areas: DataFrame) -> DataFrame:
@@ -118,47 +125,64 @@ def boundary_within(points: DataFrame, areas: DataFrame, radius: float, keys: li
 
 
 def k_nearest(left: DataFrame, right: DataFrame, k: int, size: float, exclude_same_id: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """(id, other_id, distance, rank): the k nearest of ``right`` (other_id, other_x, other_y) for each of ``left`` (id, x, y).
+    """(id, keys..., other_id, distance, rank): the k nearest of ``right`` (other_id, other_x, other_y) for each of ``left`` (id, x, y).
 
-    Expanding rings: with cells of width ``size`` the neighbours within ``reach * size`` are all found in the
-    ``2 * reach + 1`` cells around a point, so a row is settled once its kth distance is at most that; the others are
-    searched again with four times the width, until every row has k neighbours or all of ``right``.  Only unsettled
-    rows go on.  A row's candidates are reduced to k inside the aggregate, not in a sort of all pairs.
+    With cells of width w all neighbours within w lie in the 3 x 3 cells around a point, so a row is settled once its
+    kth distance is at most w.  Three passes settle every row: width ``size``; four times that for the rows left; then
+    each row that is still open at the width which covers its distance from k points of its group, a bound on its kth
+    distance.  Candidates are cut to k in each task before the shuffle: by the aggregate for k = 1, else by the
+    planner's limit per window group.
     """
     keys = keys or []
-    right = right.where(_usable("other_x", "other_y"))
-    other = cut(right.select("other_id", "other_x", "other_y", *keys))
-    total = other.count()
+    by = ["id", *keys]
+    skipped = 1 if exclude_same_id else 0
+    other = cut(right.where(_usable("other_x", "other_y")).select("other_id", "other_x", "other_y", *keys))
+    # k points of each group (one more where the row itself may be among them)
+    few = other.withColumn("_k", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("other_id"))).where(F.col("_k") <= k + skipped)
+    few = few.groupBy(*keys).agg(F.collect_list(F.struct("other_x", "other_y")).alias("_few"))
     open_ = left.where(_usable("x", "y")).select("id", "x", "y", *keys)
     if keys:
-        per = other.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k + 1)).alias("_n"))
-        open_ = open_.join(per, keys)
+        open_ = open_.join(few, keys)
     else:
-        open_ = open_.withColumn("_n", F.lit(min(total, k + 1)).cast("long"))
-    out = None
-    width = float(size)
-    while True:
-        a = open_.withColumn("_cx", geo.cell(F.col("x"), width)).withColumn("_cy", geo.cell(F.col("y"), width))
-        b = other.withColumn("_o", F.explode(_offsets(1)))
+        row = few.first()
+        points = [F.struct(F.lit(float(p.other_x)).alias("other_x"), F.lit(float(p.other_y)).alias("other_y")) for p in (row["_few"] if row else [])]
+        if not points:
+            return left.select("id", F.lit(None).cast(other.schema["other_id"].dataType).alias("other_id"), F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("rank")).limit(0)
+        open_ = open_.withColumn("_few", F.array(*points))
+    bound = F.array_max(F.transform("_few", lambda p: F.sqrt(geo.squared_distance(F.col("x"), F.col("y"), p["other_x"], p["other_y"]))))
+    open_ = open_.select("id", "x", "y", *keys, bound.alias("_bound"), F.size("_few").alias("_n"))
+
+    def near(rows: DataFrame, levels: list[int]) -> DataFrame:
+        """(by, near): up to k neighbours of rows (.., _level) found in the cells of the row's level."""
+        width = F.lit(float(size)) * F.pow(F.lit(4.0), F.col("_level"))
+        a = rows.withColumn("_cx", geo.cell(F.col("x"), width)).withColumn("_cy", geo.cell(F.col("y"), width))
+        b = other.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn("_o", F.explode(_offsets(1)))
         b = b.withColumn("_cx", geo.cell(F.col("other_x"), width) + F.col("_o.dx")).withColumn("_cy", geo.cell(F.col("other_y"), width) + F.col("_o.dy")).drop("_o")
-        pairs = a.join(b, [*keys, "_cx", "_cy"])
+        pairs = a.join(b, [*keys, "_level", "_cx", "_cy"])
         if exclude_same_id:
             pairs = pairs.where("id <> other_id")
-        distance = F.sqrt(geo.squared_distance(F.col("x"), F.col("y"), F.col("other_x"), F.col("other_y")))
-        pairs = pairs.select("id", *keys, "other_id", "_n", distance.alias("distance"))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id", *keys).orderBy("distance", "other_id"))).where(f"rank <= {k}")
-        found = ranked.groupBy("id", *keys, "_n").agg(F.sort_array(F.collect_list(F.struct("rank", "other_id", "distance"))).alias("near"))
-        wanted = F.least(F.lit(k), F.col("_n") - (1 if exclude_same_id else 0))
-        all_of = F.size("near") >= wanted
-        settled = all_of & ((F.element_at("near", -1)["distance"] <= width) | (F.col("_n") <= (k if exclude_same_id else k - 1)))
-        settled_rows = cut(found.where(settled))
-        rows = settled_rows.select("id", *keys, F.explode("near").alias("n")).select("id", *keys, "n.other_id", "n.distance", F.col("n.rank").cast("long").alias("rank"))
-        out = rows if out is None else out.unionByName(rows)
-        open_ = open_.join(settled_rows.select("id", *keys), ["id", *keys], "left_anti").where(f"_n > {1 if exclude_same_id else 0}")
-        open_ = cut(open_)
-        if open_.isEmpty():
-            return out
-        width *= 4
+        pairs = pairs.select(*by, "other_id", "_n", width.alias("_w"), F.sqrt(geo.squared_distance(F.col("x"), F.col("y"), F.col("other_x"), F.col("other_y"))).alias("distance"))
+        if k == 1:
+            least = pairs.groupBy(*by, "_n", "_w").agg(F.min(F.struct("distance", "other_id")).alias("m"))
+            return least.select(*by, "_n", "_w", F.array(F.struct(F.lit(1).alias("rank"), F.col("m.other_id").alias("other_id"), F.col("m.distance").alias("distance"))).alias("near"))
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "other_id"))).where(F.col("rank") <= k)
+        return ranked.groupBy(*by, "_n", "_w").agg(F.sort_array(F.collect_list(F.struct("rank", "other_id", "distance"))).alias("near"))
+
+    found = []
+    for level in (0, 1):
+        tried = near(open_.withColumn("_level", F.lit(level)), [level])
+        settled = cut(tried.where((F.size("near") >= k) & (F.element_at("near", -1)["distance"] <= F.col("_w"))).select(*by, "near"))
+        found.append(settled)
+        open_ = open_.join(settled.select(*by), by, "left_anti")
+    last = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.col("_bound"), F.lit(1e-9)) / float(size)) + 1e-9).cast("int"))
+    open_ = cut(open_.withColumn("_level", last))
+    levels = sorted(r[0] for r in open_.select("_level").distinct().collect())  # powers of four: some dozens at most
+    if levels:
+        found.append(near(open_, levels).select(*by, "near"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.select(*by, F.explode("near").alias("n")).select(*by, "n.other_id", "n.distance", F.col("n.rank").cast("long").alias("rank"))
 
 
 def polygon_area(areas: DataFrame) -> DataFrame:
@@ -177,3 +201,151 @@ def polygon_area(areas: DataFrame) -> DataFrame:
     joined = sized.join(depth, ["area_id", "ring_no"], "left")
     sign = F.when(F.coalesce("depth", F.lit(0)) % 2 == 1, -1.0).otherwise(1.0)
     return joined.groupBy("area_id").agg(F.sum(sign * F.col("size")).alias("area"))
+
+
+def area_assignment(points: DataFrame, areas: DataFrame, key: str = "id") -> DataFrame:
+    """(key, matches, area_id): how many areas cover each point, and the one if it is unique; uncovered points stay with 0."""
+    held = containing_area(points.select(key, "x", "y"), areas, boundary=True)
+    per = held.groupBy(key).agg(F.count("*").alias("matches"), F.min("area_id").alias("_one"))
+    out = points.select(key).join(per, key, "left")
+    return out.select(key, F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("_one")).alias("area_id"))
+
+
+def exterior_edges(areas: DataFrame) -> DataFrame:
+    """Edges of the union's boundary: those that no other area shares in either direction (exact for edge-matched areas)."""
+    e = area_edges(areas)
+    a_first = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
+    ends = [F.when(a_first, F.col(p)).otherwise(F.col(q)).alias(n) for p, q, n in (("x1", "x2", "ax"), ("y1", "y2", "ay"), ("x2", "x1", "bx"), ("y2", "y1", "by"))]
+    undirected = e.select("area_id", *ends)
+    return undirected.groupBy("ax", "ay", "bx", "by").agg(F.count("*").alias("_n"), F.min("area_id").alias("area_id")).where("_n = 1").drop("_n")
+
+
+def ring_problems(areas: DataFrame) -> DataFrame:
+    """(area_id, ring_no, problem) of rings that are short, open or hold a coordinate that is no finite number."""
+    r = areas.select("area_id", F.posexplode("rings").alias("ring_no", "ring"))
+    finite = F.forall("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < 1e12) & (F.abs(p["y"]) < 1e12))
+    problem = (
+        F.when(F.size("ring") < 4, "short")
+        .when(~finite, "not_finite")
+        .when(F.element_at("ring", 1) != F.element_at("ring", -1), "open")
+    )
+    return r.select("area_id", F.col("ring_no").cast("long").alias("ring_no"), problem.alias("problem")).where("problem is not null")
+
+
+def count_within(origins: DataFrame, destinations: DataFrame, radii: list[int], categories: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Origins (id, x, y, keys...) with within_<radius>_<category> counts of destinations (other_id, other_x, other_y, category, keys...).
+
+    One join at the widest radius, inner radii as conditional sums that are combined before the shuffle; origins
+    without a usable point keep NULL, those without a destination 0.
+    """
+    keys = keys or []
+    pairs = within_distance(origins, destinations, float(max(radii)), keys)
+    sums = [F.count_if((F.col("distance") <= r) & (F.col("category") == c)).alias(f"within_{r}_{c}") for r in radii for c in categories]
+    counted = pairs.groupBy("id", *keys).agg(*sums)
+    out = origins.join(counted, ["id", *keys], "left")
+    names = [f"within_{r}_{c}" for r in radii for c in categories]
+    return out.withColumns({n: F.when(_usable("x", "y"), F.coalesce(n, F.lit(0))) for n in names})
+
+
+def convex_hull(points: DataFrame) -> list[tuple[float, float]]:
+    """Corners of the convex hull of (x, y), counter-clockwise: each partition sends the corners of its own hull only."""
+
+    def corners(pts: np.ndarray) -> np.ndarray:
+        pts = np.unique(pts, axis=0)
+        if len(pts) < 3:
+            return pts
+
+        def half(seq: np.ndarray) -> list:
+            out: list = []
+            for p in seq:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                    out.pop()
+                out.append(p)
+            return out
+
+        low, high = half(pts), half(pts[::-1])
+        return np.array(low[:-1] + high[:-1])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.empty((0, 2))
+        for batch in batches:
+            held = corners(np.concatenate([held, batch[["x", "y"]].to_numpy(float)]))
+        if len(held):
+            yield pd.DataFrame(held, columns=["x", "y"])
+
+    ship(points.sparkSession)
+    local = points.where(_usable("x", "y")).select("x", "y").mapInPandas(run, "x double, y double")
+    merged = local.coalesce(1).mapInPandas(run, "x double, y double").collect()  # corners of corners
+    return [(r.x, r.y) for r in merged]
+
+
+def clipped_ring(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
+    """A ring cut to an axis-aligned rectangle, edge after edge."""
+    for axis, bound, keep_above in ((0, x0, True), (0, x1, False), (1, y0, True), (1, y1, False)):
+        if not len(ring):
+            break
+        inside = ring[:, axis] >= bound if keep_above else ring[:, axis] <= bound
+        out = []
+        for i in range(len(ring)):
+            a, b = ring[i - 1], ring[i]
+            if inside[i] != inside[i - 1]:
+                t = (bound - a[axis]) / (b[axis] - a[axis])
+                out.append(a + t * (b - a))
+            if inside[i]:
+                out.append(b)
+        ring = np.array(out)
+    return ring
+
+
+def clipped_cells(areas: DataFrame, size: float) -> DataFrame:
+    """(area_id, cx, cy, area): the area of each grid cell that lies in the area (area_id, rings); empty cells are left out.
+
+    Rings inside another ring are taken off.  One row of cells of one ring is cut at a time.
+    """
+    ship(areas.sparkSession)
+    ring = areas.select("area_id", F.posexplode("rings").alias("ring_no", "ring"))
+    ring = ring.withColumn("e", geo.ring_edges(F.array("ring")))
+    other = ring.select("area_id", F.col("ring_no").alias("other_no"), F.col("e").alias("other_e"))
+    probe = F.element_at("ring", 1)
+    inside = geo.odd_crossings(probe["x"], probe["y"], F.col("other_e"))
+    depth = ring.join(other, "area_id").where("ring_no <> other_no").where(inside).groupBy("area_id", "ring_no").agg(F.count("*").alias("depth"))
+    ys = F.transform("ring", lambda p: p["y"])
+    rows = ring.join(depth, ["area_id", "ring_no"], "left").select(
+        "area_id", F.coalesce("depth", F.lit(0)).alias("depth"), F.transform("ring", lambda p: p["x"]).alias("xs"), ys.alias("ys"),
+        F.explode(F.sequence(geo.cell(F.array_min(ys), size), geo.cell(F.array_max(ys), size))).alias("cy"),
+    )
+
+    def shoelace(r: np.ndarray) -> float:
+        return abs(float(np.dot(r[:, 0], np.roll(r[:, 1], 1)) - np.dot(r[:, 1], np.roll(r[:, 0], 1)))) / 2 if len(r) > 2 else 0.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                points = np.column_stack([row.xs, row.ys])
+                if (points[0] == points[-1]).all():
+                    points = points[:-1]
+                strip = clipped_ring(points, -np.inf, row.cy * size, np.inf, (row.cy + 1) * size)
+                if len(strip) < 3:
+                    continue
+                for cx in range(int(np.floor(strip[:, 0].min() / size)), int(np.floor(strip[:, 0].max() / size)) + 1):
+                    part = shoelace(clipped_ring(strip, cx * size, -np.inf, (cx + 1) * size, np.inf))
+                    if part > 0:
+                        out.append((row.area_id, cx, row.cy, -part if row.depth % 2 else part))
+            yield pd.DataFrame(out, columns=["area_id", "cx", "cy", "area"])
+
+    parts = rows.mapInPandas(run, T.StructType([areas.schema["area_id"], *[T.StructField(c, T.LongType()) for c in ("cx", "cy")], T.StructField("area", T.DoubleType())]))
+    return parts.groupBy("area_id", "cx", "cy").agg(F.sum("area").alias("area")).where("area > 0")
+
+
+def point_on_surface(areas: DataFrame) -> DataFrame:
+    """(area_id, x, y): the middle of the widest stretch inside the area on the horizontal line through the middle of its extent."""
+    e = areas.select("area_id", geo.ring_edges(F.col("rings")).alias("edges"))
+    low = F.array_min(F.transform("edges", lambda s: F.least(s["y1"], s["y2"])))
+    high = F.array_max(F.transform("edges", lambda s: F.greatest(s["y1"], s["y2"])))
+    lined = e.withColumn("y", (low + high) / 2)
+    hit = F.filter("edges", lambda s: (s["y1"] > F.col("y")) != (s["y2"] > F.col("y")))
+    xs = F.array_sort(F.transform(hit, lambda s: (s["x2"] - s["x1"]) * (F.col("y") - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
+    lined = lined.withColumn("xs", xs).where("size(xs) >= 2")
+    spans = F.transform(F.sequence(F.lit(1), (F.size("xs") / 2).cast("int")), lambda i: F.struct((F.element_at("xs", 2 * i) - F.element_at("xs", 2 * i - 1)).alias("w"), ((F.element_at("xs", 2 * i) + F.element_at("xs", 2 * i - 1)) / 2).alias("x")))
+    return lined.select("area_id", F.array_max(spans)["x"].alias("x"), "y")

@@ -6,7 +6,8 @@ split at quotes, the pieces outside a quoted field must start and end at a comma
 JVM, no backtracking pattern, so very long records are safe.
 
 Reasons, the first that applies: ``quoting`` (a NULL record counts here too), ``column_count``, ``bad_id``,
-``bad_price``.  Values are not trimmed.  Repeated records all come out.
+``bad_price``.  Values are not trimmed.  Repeated records all come out.  An empty record has one field.  Columns
+``parsed`` and ``reason`` that come along are replaced.
 """
 
 from __future__ import annotations
@@ -94,6 +95,6 @@ def failed_records(lines: DataFrame) -> DataFrame:
 
 
 def loaded_records(lines: DataFrame, schema: T.StructType = RECORD) -> DataFrame:
-    """The valid rows, typed by the schema, with the columns that came along with the line."""
-    kept = [c for c in lines.columns if c != "raw_line"]
+    """The valid rows, typed by the schema, with the columns that came along with the line (a field of the record takes precedence)."""
+    kept = [c for c in lines.columns if c != "raw_line" and c not in schema.names]
     return classified(lines, schema=schema).where("reason is null").select(*kept, *[F.col(f"parsed.{f.name}").alias(f.name) for f in schema.fields])
