@@ -9,7 +9,8 @@ Scale: no source is sorted.  Keys fall into ``BINS`` bins per source, one small
 every bin, whole bins are taken or left, and only the bin in which the budget ends is summed document by document.
 
 Defined results: texts of no tokens and sources without a target are used 0 times; targets without documents are
-reported with 0 tokens, the other shares are scaled to 1; ties of keys go by id; empty tables give no uses.
+reported with 0 tokens, the other shares are scaled to 1; ties of keys go by id; an id that comes again counts once,
+rows without an id do not count; empty tables give no uses.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ def exponential_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
 
 def plan(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """One row per source of either table: its share, budget, whole epochs and the tokens of the partial pass."""
+    targets = targets.select("source", "target_share", "max_repeats")
     have = documents.where("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"))
     joined = targets.join(have, "source", "full").withColumn("available", F.coalesce("available", F.lit(0)))
     joined = joined.withColumn("usable", (F.col("available") > 0) & (F.coalesce("target_share", F.lit(0.0)) > 0) & (F.coalesce("max_repeats", F.lit(0)) > 0))
@@ -55,6 +57,7 @@ def plan(documents: DataFrame, targets: DataFrame, total_tokens: int | None = No
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """``documents`` (doc_id, source, tokens, weight) -> uses (doc_id, source, tokens, uses) and the plan per source."""
+    documents = documents.select("doc_id", "source", "tokens", "weight").where("doc_id is not null").dropDuplicates(["doc_id"])
     planned = cut(plan(documents, targets, total_tokens))
     key = exponential_key(F.col("doc_id"), F.greatest(F.col("weight"), F.lit(1e-6)), seed)
     keyed = documents.join(planned.select("source", "epochs", "rest"), "source", "left").withColumn("key", key)

@@ -10,7 +10,8 @@
    numbering inside each slot, so no bucket is ever sorted in one task.
 
 The capacity always holds, since no item is longer than its bucket's boundary.  Items of no tokens take no room and
-are left out.  Equal lengths are told apart by id; an empty table gives no containers.
+are left out, so are rows without an id; an id that comes again is one item of the larger length.  Equal lengths are
+told apart by id.  An empty table, or no capacity, gives no containers.
 """
 
 from __future__ import annotations
@@ -139,7 +140,8 @@ def pack(items: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
 
 def pack_all(items: DataFrame, capacities: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The containers of every capacity (capacity_id, capacity_tokens), a small list of sizes, with the space each one leaves."""
-    given = cut(items)
+    # an id that comes again is one item
+    given = cut(items.where("doc_id is not null").groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
     out = None
     for row in capacities.orderBy("capacity_id").collect():
         packed = pack(given, int(row.capacity_tokens), buckets).select(
@@ -147,7 +149,8 @@ def pack_all(items: DataFrame, capacities: DataFrame, buckets: int = BUCKETS) ->
         )
         out = packed if out is None else out.unionByName(packed)
     if out is None:
-        raise ValueError("no capacities")
+        return given.select(*[F.lit(0).cast("long").alias(c) for c in ("capacity_id", "capacity_tokens")], F.lit("").alias("container"), F.col("doc_id"),
+                            *[F.lit(0).cast("long").alias(c) for c in ("part", "token_start", "tokens", "space_left")]).limit(0)
     out = cut(out)
     space = out.groupBy("capacity_id", "container").agg((F.first("capacity_tokens") - F.sum("tokens")).alias("space_left"))
     return out.join(space, ["capacity_id", "container"])

@@ -208,6 +208,14 @@ def _merging(keys: list[str], k: int):
     return run
 
 
+def _slots(df: DataFrame) -> int:
+    """Slots of the first merge: the square root of the partitions the planner's size estimate stands for, none for few."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    size = float(stats.sizeInBytes().toString())
+    partitions = size / df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return 1 if partitions < 64 else min(256, int(np.ceil(np.sqrt(partitions))))
+
+
 def sketches(df: DataFrame, keys: list[str], fields: list[str], k: int = K) -> DataFrame:
     """One mergeable sketch per group of ``keys`` and field: (keys..., field_name, sketch columns)."""
     ship(df.sparkSession)
@@ -217,9 +225,9 @@ def sketches(df: DataFrame, keys: list[str], fields: list[str], k: int = K) -> D
     key_fields = [*_key_fields(narrow, keys), T.StructField("field_name", T.StringType())]
     partial = narrow.mapInPandas(_summing(keys, fields, k), T.StructType([*key_fields, *SKETCH_FIELDS]))
     names = [*keys, "field_name"]
-    slots = max(1, int(np.sqrt(narrow.rdd.getNumPartitions())))
+    slots = _slots(narrow)
     slotted = partial.withColumn("slot", F.spark_partition_id() % slots)
-    if slots > 2:
+    if slots > 1:
         schema = T.StructType([*key_fields, T.StructField("slot", T.IntegerType()), *SKETCH_FIELDS])
         slotted = slotted.groupBy(*names, "slot").applyInPandas(_merging([*names, "slot"], k), schema)
     merged = merge_to(slotted.drop("slot"), keys, k)

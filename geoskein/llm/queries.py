@@ -13,8 +13,8 @@ from geoskein.llm.mixing import mix, quality_weight, reached_shares
 from geoskein.llm.packing import pack_all
 from geoskein.llm.place_groups import place_links
 from geoskein.llm.reading_level import reading_levels
-from geoskein.llm.tokens import token_counts
-from geoskein.plans.session import cut, table
+from geoskein.llm.tokens import token_count, token_counts
+from geoskein.plans.session import cut, ship, table
 
 PLACE_FIELDS = ["neighbourhood_cleansed", "neighbourhood_group_cleansed"]
 TYPED_FIELDS = ["neighbourhood_cleansed", "property_type"]
@@ -148,9 +148,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    weights = documents.select("doc_id", "source", quality_weight(F.coalesce("text", F.lit(""))).alias("weight"))
-    return cut(weights.join(token_counts(documents), "doc_id"))
+    ship(spark)
+    text = F.col("text")
+    weight = quality_weight(F.coalesce(text, F.lit("")))
+    return cut(table(spark, d, "documents").select("doc_id", "source", weight.alias("weight"), token_count(text).alias("tokens")))
 
 
 def p8_uses(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ long everyday words or short technical ones, so most of the seven estimates take
 list.  Both the list and the boundaries between levels are fitted on a bounded sample of the labelled documents
 (``SAMPLE`` documents, ``LIST_WORDS`` words); scoring covers every document and its whole text.
 
-NULL, blank and wordless texts have no level and no row.  Copies get equal levels.  Without labels there is no level.
+NULL, blank and wordless texts and rows without an id have no level and no row.  Copies get equal levels.  Without labels there is no level.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def _levelling(bounds: dict[str, dict[str, list[float]]]):
 
 
 def readable(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "text", "lang").where(F.col("text").rlike(r"[^\s\p{Z}]"))
+    return documents.select("doc_id", "text", "lang").where("doc_id is not null").where(F.col("text").rlike(r"[^\s\p{Z}]"))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -73,7 +73,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
     spark = documents.sparkSession
     ship(spark)
     texts = readable(documents)
-    voted = labels.groupBy("doc_id").agg(F.avg("reading_level").alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    voted = labels.where("doc_id is not null and reading_level is not null").groupBy("doc_id").agg(F.avg("reading_level").alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     examples = cut(texts.join(F.broadcast(voted), "doc_id"))  # at most ``sample`` ids and levels
     if examples.isEmpty():
         return texts.select("doc_id", "lang", F.lit(0.0).alias("level")).limit(0)
@@ -84,6 +84,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
     )
     graded = spark.sparkContext.broadcast({r.word: r.grade for r in listed.select("word", "grade").toLocalIterator()})
     fit = examples.mapInPandas(_scoring(graded), _COUNTED).join(F.broadcast(voted), "doc_id").toPandas()
+    if fit.empty:
+        return texts.select("doc_id", "lang", F.lit(0.0).alias("level")).limit(0)
     bounds: dict[str, dict[str, list[float]]] = {}
     for lang, rows in [("", fit), *fit.groupby("lang")]:
         if not lang or (len(rows) >= OWN_LANGUAGE and (rows["level"] >= 3.5).sum() >= 5):

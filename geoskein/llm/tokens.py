@@ -5,11 +5,12 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from geoskein.plans.session import ship
 
@@ -43,15 +44,16 @@ def encode(text: str, folder: str = TOKENIZERS) -> list[int]:
     return out + enc.encode_ordinary(text[done:])
 
 
-def _counting(folder: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": [len(encode(t, folder)) if isinstance(t, str) else 0 for t in batch["text"]]})
+def token_count(text: Column, folder: str = TOKENIZERS) -> Column:
+    """Tokens of each text; NULL and empty texts have none.  Call ``ship`` on the session before."""
 
-    return run
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(encode(t, folder)) if isinstance(t, str) else 0 for t in texts], dtype="int64")
+
+    return F.pandas_udf(run, LongType())(text)
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, tokens) of every document; NULL and empty texts have none."""
+    """(doc_id, tokens) of every document; rows without an id are left out."""
     ship(documents.sparkSession)
-    return documents.select("doc_id", "text").mapInPandas(_counting(folder), "doc_id long, tokens long")
+    return documents.where("doc_id is not null").select("doc_id", token_count(F.col("text"), folder).alias("tokens"))
