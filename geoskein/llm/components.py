@@ -3,8 +3,9 @@
 Vertices are hashed into B blocks; the edge (a, b) belongs to the cell (block of a, block of b).  Every cell runs a
 local union-find and hands back, for each of its vertices, the smallest vertex it reaches there.  The exchange takes,
 for every vertex, the smallest of the representatives from its row and its column of cells as parent, and links the
-others to it: those links are the edges of the next round.  A vertex that got a parent never comes back, so the edges
-shrink until none is left; then the parents are followed from the last round to the first.
+others to it: those links are the edges of the next round.  A vertex that represents no other retires with its parent
+(the largest vertex always does, in practice most do); one that represents others stays, linked to its parent.  So
+the edges shrink until none is left; then the parents are followed from the last round to the first.
 
 Scale: a cell holds at most about ``edges_per_cell`` edges, since B follows the number of edges and a cell that is
 larger (a hub's row) is cut into parts by a hash of its edges: union-find may run on any subset.  What a vertex
@@ -92,10 +93,14 @@ def connected_components(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL)
         else:
             gridded = gridded.withColumn("part", F.lit(0).cast("long"))
         reached = gridded.groupBy("row", "col", "part").applyInPandas(_cell, forest)
-        exchanged = cut(reached.groupBy("x").agg(F.min("root").alias("parent"), F.collect_set("root").alias("roots")))
-        rounds.append(exchanged.select("x", "parent"))
-        following = exchanged.where("size(roots) > 1").select(F.col("parent").alias("a"), F.explode("roots").alias("b")).where("a <> b")
-        open_ = cut(following.mapInPandas(_reduce, pair))
+        reached = cut(reached)
+        exchanged = reached.groupBy("x").agg(F.min("root").alias("parent"), F.collect_set("root").alias("roots"))
+        representing = reached.select(F.col("root").alias("x")).distinct().withColumn("stays", F.lit(True))
+        exchanged = cut(exchanged.join(representing, "x", "left"))
+        rounds.append(exchanged.where("stays is null").select("x", "parent"))
+        linked = exchanged.where("size(roots) > 1").select(F.col("parent").alias("a"), F.explode("roots").alias("b")).where("a <> b")
+        kept = exchanged.where("stays").select(F.col("parent").alias("a"), F.col("x").alias("b"))
+        open_ = cut(linked.unionByName(kept).mapInPandas(_reduce, pair))
     labels = None
     for parents in reversed(rounds):
         own = parents.select(F.col("x").alias("vertex"), F.col("parent").alias("component"))

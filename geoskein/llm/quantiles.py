@@ -211,7 +211,7 @@ def _merging(keys: list[str], k: int):
 def _slots(df: DataFrame) -> int:
     """Slots of the first merge: the square root of the partitions the planner's size estimate stands for, none for few."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    size = float(stats.sizeInBytes().toString())
+    size = float(str(stats.sizeInBytes()))
     partitions = size / df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return 1 if partitions < 64 else min(256, int(np.ceil(np.sqrt(partitions))))
 
