@@ -78,7 +78,7 @@ def decoded_text(raw: Column) -> Column:
 
 def tidy_label(label: Column) -> Column:
     """White space, also the unbreakable, to single spaces."""
-    return F.trim(F.regexp_replace(label, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(label, r"[\s\u00a0]+", " "))
 
 
 def decimal_comma(value: Column) -> Column:
