@@ -105,19 +105,24 @@ def average_ranks(df: DataFrame, column: str, groups: Sequence[str], rank: str)
     return df.join(ranked, [*groups, column])
 
 
+def _pearson(x: str, y: str) -> Column:
+    """Pearson's correlation, NULL without variance (the built-in one fails there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str] = (), least: int = 30) -> DataFrame:
     """(groups..., n, rho) over complete pairs; NULL below ``least`` pairs or without variance."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y)
     ranked = average_ranks(average_ranks(pairs, x, groups, "_rx"), y, groups, "_ry")
-    out = ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
-    return out.select(*groups, "n", F.when((F.col("n") >= least) & (F.col("_sx") > 0) & (F.col("_sy") > 0), F.col("rho")).alias("rho"))
+    out = ranked.groupBy(*groups).agg(F.count("*").alias("n"), _pearson("_rx", "_ry").alias("rho"))
+    return out.select(*groups, "n", F.when(F.col("n") >= least, F.col("rho")).alias("rho"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Pearson over complete rows, from one pass of sums; k x k on the driver."""
     complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = complete.agg(*[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    row = complete.agg(*[_pearson(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     out = np.eye(len(columns))
     for i, j in pairs:
         if i != j:
@@ -151,7 +156,7 @@ def token_prevalence(df: DataFrame, array_text: str, tokens: Sequence[str], low:
     sums = base.agg(n.alias("rows"), F.count_if(F.col("_t").isNotNull() & F.col("_a").isNull()).alias("invalid_rows"), *[F.count_if(F.array_contains("_a", t)).alias(f"t{i}") for i, t in enumerate(tokens)])
     rows = F.array(*[F.struct(F.lit(t).alias("token"), F.col(f"t{i}").alias("rows_with")) for i, t in enumerate(tokens)])
     out = sums.select("rows", "invalid_rows", F.explode(rows).alias("r")).select("r.token", "r.rows_with", "rows", "invalid_rows")
-    pct = 100 * F.col("rows_with") / (F.col("rows") - F.col("invalid_rows"))
+    pct = F.try_divide(100 * F.col("rows_with"), F.col("rows") - F.col("invalid_rows"))
     return out.withColumn("prevalence_pct", F.round(pct, 4)).withColumn("usable", (pct > low) & (pct < high)).drop("rows")
 
 
@@ -161,8 +166,8 @@ def morans_i(values: DataFrame, neighbours: DataFrame) -> DataFrame:
     z = values.select("id", (F.col("value") - F.lit(float(stats["_m"] or 0.0))).alias("z"))
     lag = neighbours.join(z.withColumnsRenamed({"id": "other_id", "z": "z_other"}), "other_id").groupBy("id").agg(F.avg("z_other").alias("lag"))
     joined = z.join(lag, "id", "left")
-    out = joined.agg(F.count("*").alias("n"), (F.sum(F.col("z") * F.coalesce("lag", F.lit(0.0))) / F.sum(F.col("z") * F.col("z"))).alias("i"))
-    return out.select("n", "i", (F.lit(-1.0) / (F.col("n") - 1)).alias("expected"))
+    out = joined.agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("z") * F.coalesce("lag", F.lit(0.0))), F.sum(F.col("z") * F.col("z"))).alias("i"))
+    return out.select("n", "i", F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("expected"))
 
 
 def moran_permutation_p(values: DataFrame, neighbours: DataFrame, permutations: int = 499, seed: int = 20260929, most: int = 2_000_000) -> DataFrame:
