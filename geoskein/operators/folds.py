@@ -86,3 +86,29 @@ def grouped_folds(df: DataFrame, key: str, group: str, stratum: str, folds: int
 def split_groups(df: DataFrame, fold: str, group: str) -> DataFrame:
     """Groups that lie in more than one fold: none, if the folds keep groups whole."""
     return df.groupBy(group).agg(F.count_distinct(fold).alias("folds")).where("folds <> 1")
+
+
+def outer_splits(df: DataFrame, fold: str, key: str, exclusions: DataFrame | None = None, least_test: int = 1, least_train: int = 1):
+    """(fold, train, test) one after the other; ``exclusions`` (key, fold) take buffered rows out of the training side only."""
+    for f in sorted(r[0] for r in df.where(F.col(fold).isNotNull()).select(fold).distinct().collect()):
+        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
+        if exclusions is not None:
+            train = train.join(exclusions.where(F.col(fold) == f).select(key), key, "left_anti")
+        sizes = train.count(), test.count()
+        if sizes[0] < least_train or sizes[1] < least_test:
+            raise ValueError(f"fold {f}: {sizes[0]} training and {sizes[1]} test rows are too few")
+        yield f, train, test
+
+
+def sampled_pairs(df: DataFrame, key: str, pairs_per_row: int, seed: int = SEED) -> DataFrame:
+    """(key, other_key): ``pairs_per_row`` random partners for every row, by joining two hash orders rank by rank.
+
+    Each draw numbers the rows in two independent hash orders and pairs equal numbers, so the work is linear.
+    """
+    out = None
+    for draw in range(pairs_per_row):
+        a = dense_numbers(df.select(key, F.xxhash64(key, F.lit(seed + 2 * draw)).alias("_h")), ["_h", key], "_n").select(key, "_n")
+        b = dense_numbers(df.select(F.col(key).alias(f"other_{key}"), F.xxhash64(key, F.lit(seed + 2 * draw + 1)).alias("_h")), ["_h", f"other_{key}"], "_n").select(f"other_{key}", "_n")
+        pairs = a.join(b, "_n").drop("_n").where(F.col(key) != F.col(f"other_{key}"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
