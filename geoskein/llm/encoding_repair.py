@@ -58,8 +58,9 @@ def garbled_values(values: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame
     """
     ship(values.sparkSession)
     distinct = values.where(F.col("value").rlike(NON_ASCII)).groupBy("value").agg(F.count("*").alias("n"))
-    # the values are few and small against the rows: spread them evenly, the scan costs far more than a row's bytes
-    scanned = cut(distinct.mapInPandas(_scan, _SCAN))
+    # few bytes, much work: spread evenly over the shuffle partitions, which the planner would otherwise merge by bytes
+    spread = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scanned = cut(spread.mapInPandas(_scan, _SCAN))
     counts = (
         scanned.where("restored is null")
         .select(F.explode("words").alias("word"), "n")
