@@ -6,8 +6,11 @@ values at those places, and only the pairs found are verified with the built-in
 verified entry come out of an anti-join.
 
 Typed values carry words around the name, other word orders and separators.  They are therefore folded to plain
-letters and compared through their windows: runs of neighbouring words, also with the last word moved to the front,
-written without spaces.  All work is on distinct values and distinct windows, joined back to the records at the end.
+letters and compared through their windows: runs of neighbouring words, also with an outer word moved to the other
+end, written without spaces.  Entries also stand with their letters above ASCII dropped and with everyday words for
+their own (``SYNONYMS``).  In short entries three edits must leave most letters alike, so that a swap of neighbours,
+two edits, weighs less than two other letters.  All work is on distinct values and distinct windows, joined back to the records
+at the end.
 
 Defined results: NULL, blank and exact values are not asked for; ties go to fewer edits, then to the longer entry,
 then to the smaller id; repeated records all come out; an empty reference list leaves every value unmatched.
@@ -23,6 +26,8 @@ from geoskein.plans.session import cut
 #: Most edits for an entry of so many folded letters: up to 4, up to 7, up to 11, beyond.  A transposition is two edits.
 EDITS = ((4, 1), (7, 2), (11, 3), (10**9, 4))
 MOST_EDITS = EDITS[-1][1]
+#: For entries of up to so many letters, three edits may leave at most two letters different, whatever their order.
+SHORT, SHORT_LETTERS = 11, 2
 #: Everyday words that stand for a word of the list, after folding.
 SYNONYMS = {"whole": "entire", "rm": "room", "apt": "apartment", "at": "in"}
 
@@ -43,13 +48,27 @@ def edits(length: str) -> str:
     return "case " + " ".join(f"when {length} <= {most} then {k}" for most, k in EDITS) + " end"
 
 
-def segments(entries: DataFrame) -> DataFrame:
-    """(field_name, canonical_id, flat, k, seg, start, size, piece) of each entry (field_name, canonical_id, canonical_value)."""
+def letters_apart(a: str, b: str) -> str:
+    """SQL: letters of one string that the other lacks, with multiplicity, whatever their order; the larger of both ways."""
+
+    def lacking(x: str, y: str) -> str:
+        count = lambda s: f"(length({s}) - length(replace({s}, c, '')))"
+        return f"aggregate(split('abcdefghijklmnopqrstuvwxyz0123456789', ''), 0, (n, c) -> n + if(c = '', 0, greatest(0, {count(x)} - {count(y)})))"
+
+    return f"greatest({lacking(a, b)}, {lacking(b, a)})"
+
+
+def segments(entries: DataFrame, synonyms: dict[str, str]) -> DataFrame:
+    """(field_name, canonical_id, flat, k, seg, start, size, piece) of each form of each entry (field_name, canonical_id, canonical_value)."""
+    plain = folded("canonical_value")
+    dropped = folded("regexp_replace(canonical_value, '[^\\\\x00-\\\\x7F]', '')")
+    forms = [plain, dropped, *[f"regexp_replace({plain}, '\\\\b{b}\\\\b', '{a}')" for a, b in synonyms.items()]]
     return entries.sparkSession.sql(
         f"""
-        with flat as (
-            select field_name, canonical_id, replace({folded("canonical_value")}, ' ', '') as flat,
-                   size(split({folded("canonical_value")}, ' ')) as n_words from {{entries}}),
+        with forms as (
+            select distinct field_name, canonical_id, size(split({plain}, ' ')) as n_words, explode(array({", ".join(forms)})) as form from {{entries}}),
+        flat as (
+            select distinct field_name, canonical_id, n_words, replace(form, ' ', '') as flat from forms),
         sized as (select *, least({edits("length(flat)")}, length(flat) - 1) as k from flat where length(flat) > 0),
         cut as (
             select *, explode(sequence(0, k)) as seg, div(length(flat), k + 1) as base, length(flat) % (k + 1) as longer from sized)
@@ -64,7 +83,7 @@ def segments(entries: DataFrame) -> DataFrame:
 
 
 def windows(values: DataFrame, most_words: int, synonyms: dict[str, str]) -> DataFrame:
-    """(field_name, value, flat) for each run of up to ``most_words`` words of the folded ``text``, and for each with its last word in front."""
+    """(field_name, value, flat) for each run of up to ``most_words`` words of the folded ``text``, and for each with its last word in front or its first word behind."""
     word = "w"
     swap = "case " + " ".join(f"when {word} = '{a}' then '{b}'" for a, b in synonyms.items()) + f" else {word} end" if synonyms else word
     return values.sparkSession.sql(
@@ -77,9 +96,10 @@ def windows(values: DataFrame, most_words: int, synonyms: dict[str, str]) -> Dat
             select field_name, value, ws, a, explode(sequence(a, least(a + {most_words - 1}, size(ws)))) as b from begun),
         runs as (
             select field_name, value, array_join(filter(ws, (w, i) -> i + 1 between a and b), '') as plain,
-                   concat(element_at(ws, b), array_join(filter(ws, (w, i) -> i + 1 >= a and i + 1 < b), '')) as turned
+                   concat(element_at(ws, b), array_join(filter(ws, (w, i) -> i + 1 >= a and i + 1 < b), '')) as last_first,
+                   concat(array_join(filter(ws, (w, i) -> i + 1 > a and i + 1 <= b), ''), element_at(ws, a)) as first_last
             from ended)
-        select distinct field_name, value, explode(array_distinct(array(plain, turned))) as flat
+        select distinct field_name, value, explode(array_distinct(array(plain, last_first, first_last))) as flat
         from runs""",
         vals=values,
     )
@@ -89,7 +109,7 @@ def closest_entries(values: DataFrame, entries: DataFrame, synonyms: dict[str, s
     """(field_name, value, canonical_id, distance) of each distinct (field_name, value, text) that has an entry within its edits."""
     spark = values.sparkSession
     synonyms = SYNONYMS if synonyms is None else synonyms
-    segs = cut(segments(entries))
+    segs = cut(segments(entries, synonyms))
     # one number: the longest entry in words bounds the windows; a typed word may be split in two
     most = (segs.agg(F.max("n_words")).first()[0] or 0) + 2
     wins = cut(windows(values, most, synonyms))  # used twice: written once
@@ -109,9 +129,12 @@ def closest_entries(values: DataFrame, entries: DataFrame, synonyms: dict[str, s
             from places l join {{segs}} s
               on l.field_name = s.field_name and l.len = s.len and l.seg = s.seg and substring(l.flat, l.at, l.size) = s.piece),
         near as (
-            select field_name, flat, canonical_id, length(entry) as len, levenshtein(flat, entry, k) as distance from pairs),
+            select field_name, flat, entry, canonical_id, length(entry) as len, levenshtein(flat, entry, k) as distance from pairs),
+        alike as (
+            select * from near where distance >= 0
+            and (distance < 3 or len > {SHORT} or {letters_apart("flat", "entry")} <= {SHORT_LETTERS})),
         best as (
-            select field_name, flat, min(struct(distance, -len as short, canonical_id)) as b from near where distance >= 0 group by field_name, flat)
+            select field_name, flat, min(struct(distance, -len as short, canonical_id)) as b from alike group by field_name, flat)
         select w.field_name, w.value, min(b).canonical_id as canonical_id, min(b).distance as distance
         from {{wins}} w join best on w.field_name = best.field_name and w.flat = best.flat
         group by w.field_name, w.value""",
