@@ -34,27 +34,30 @@ def hub(*parts) -> Column:
 
 
 def near_links(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges (a, b) that connect exactly the rows (vertex, keys..., radius, x, y) of equal keys joined by steps of at most ``radius``."""
+    """Edges (a, b) that connect exactly the rows (vertex, keys..., radius, x, y) of equal keys joined by steps of at most ``radius``.
+
+    The keys travel as one digest of 16 bytes, and keys that a single row has are left out before cells are made.
+    """
     side = F.col("radius") / math.sqrt(2.0) * (1 - 1e-9)
-    celled = cut(
-        rows.where("x is not null and y is not null and radius is not null and not isnan(x) and not isnan(y)")
-        .withColumn("cx", F.floor(F.col("x") / side).cast("long"))
-        .withColumn("cy", F.floor(F.col("y") / side).cast("long"))
-    )
-    cell_keys = [*keys, "radius", "cx", "cy"]
-    own = celled.select(F.col("vertex").alias("a"), hub(F.lit("cell"), *cell_keys).alias("b"))
+    digest = F.unhex(F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys], F.col("radius").cast("string"))))
+    placed = rows.where("x is not null and y is not null and radius is not null and not isnan(x) and not isnan(y)").select("vertex", digest.alias("k"), "radius", "x", "y")
+    placed = cut(placed)
+    several = placed.groupBy("k").count().where("count > 1").select("k")
+    celled = placed.join(several, "k", "left_semi").withColumn("cx", F.floor(F.col("x") / side).cast("long")).withColumn("cy", F.floor(F.col("y") / side).cast("long"))
+    celled = cut(celled)
+    cell = lambda cx, cy: F.concat(F.lit("z"), F.md5(F.concat(F.hex("k"), F.lit("|"), cx.cast("string"), F.lit("|"), cy.cast("string"))))
+    own = celled.select(F.col("vertex").alias("a"), cell(F.col("cx"), F.col("cy")).alias("b"))
 
     def across(by: str, along: str, offsets: list[tuple[int, int]]) -> DataFrame:
-        outline = celled.groupBy(*cell_keys, by).agg(F.max(along).alias("last"), F.min(along).alias("first"))
+        outline = celled.groupBy("k", "cx", "cy", by).agg(F.max(along).alias("last"), F.min(along).alias("first"), F.first("radius").alias("radius"))
         steps = F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in offsets])
-        left = outline.select(*cell_keys, by, "last", F.explode(steps).alias("step")).select(
-            *keys, "radius", (F.col("cx") + F.col("step.dx")).alias("cx"), (F.col("cy") + F.col("step.dy")).alias("cy"),
-            F.col("cx").alias("lx"), F.col("cy").alias("ly"), F.col(by).alias("lby"), "last",
-        )
-        right = outline.select(*cell_keys, F.col(by).alias("rby"), "first")
+        left = outline.select("k", "cx", "cy", "radius", F.col(by).alias("lby"), "last", F.explode(steps).alias("step")).select(
+            "k", (F.col("cx") + F.col("step.dx")).alias("cx"), (F.col("cy") + F.col("step.dy")).alias("cy"), F.col("cx").alias("lx"), F.col("cy").alias("ly"), "lby", "last", "radius"
+        )
+        right = outline.select("k", "cx", "cy", F.col(by).alias("rby"), "first")
         near = (F.pow(F.col("first") - F.col("last"), 2) + F.pow(F.col("rby") - F.col("lby"), 2)) <= F.col("radius") * F.col("radius")
-        linked = left.join(right, cell_keys).where(near).select(*cell_keys, "lx", "ly").distinct()
-        return linked.select(hub(F.lit("cell"), *keys, "radius", "lx", "ly").alias("a"), hub(F.lit("cell"), *cell_keys).alias("b"))
+        linked = left.join(right, ["k", "cx", "cy"]).where(near).select("k", "cx", "cy", "lx", "ly").distinct()
+        return linked.select(cell(F.col("lx"), F.col("ly")).alias("a"), cell(F.col("cx"), F.col("cy")).alias("b"))
 
     right_of = [(dx, dy) for dx in (1, 2) for dy in (-2, -1, 0, 1, 2)]
     return own.unionByName(across("y", "x", right_of)).unionByName(across("x", "y", [(0, 1), (0, 2)]))

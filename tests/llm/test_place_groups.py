@@ -25,7 +25,8 @@ def test_near_links_against_all_pairs(spark):
     rows = [(f"r{i:03d}", rng.choice("ab"), 10.0, rng.uniform(-80, 80), rng.uniform(-80, 80)) for i in range(250)]
     rows += [("r900", "a", 10.0, 200.0, 0.0), ("r901", "a", 10.0, 210.0, 0.0), ("r902", "a", 10.0, 220.01, 0.0), ("r903", "a", 10.0, 200.0, 0.0), ("r904", "a", 10.0, None, 0.0)]
     df = spark.createDataFrame(rows, "vertex string, k string, radius double, x double, y double")
-    labels = {r.vertex: r.component for r in connected_components(near_links(df, ["k"])).where("vertex < 'z'").collect()}
+    found = {r.vertex: r.component for r in connected_components(near_links(df, ["k"])).where("vertex < 'z'").collect()}
+    labels = {r[0]: found.get(r[0], r[0]) for r in rows if r[3] is not None}
     usable = [r for r in rows if r[3] is not None]
     pairs = [(a[0], b[0]) for a in usable for b in usable if a[0] < b[0] and a[1] == b[1] and math.hypot(a[3] - b[3], a[4] - b[4]) <= 10.0]
     assert labels == _groups(pairs, [r[0] for r in usable])
