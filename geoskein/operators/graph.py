@@ -197,15 +197,23 @@ def nearest_source(arcs_: DataFrame, seeds: DataFrame, keys: Sequence[str] = (),
 def reach_distances(arcs_: DataFrame, origins: DataFrame, cutoff: float, arcs_in_task: int = ARCS_IN_TASK) -> DataFrame:
     """(origin_node, node, distance) for every node within ``cutoff`` of the distinct origin nodes (origin_node)."""
     reverse = arcs_.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m")
-    starts = origins.select("origin_node").distinct()
+    # few bytes, much work: spread evenly, the planner would merge the partitions by bytes
+    starts = origins.select("origin_node").distinct().repartition(int(arcs_.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if _few_arcs(arcs_, arcs_in_task):
         held = _broadcast_arcs(reverse)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
+                origin_nodes, nodes, distances = [], [], []
                 for origin in batch["origin_node"].tolist():
                     at = _heap_search(held.value, [(0.0, 0, origin)], cutoff)
-                    yield pd.DataFrame({"origin_node": origin, "node": list(at), "distance": [v[0] for v in at.values()]})
+                    origin_nodes += [origin] * len(at)
+                    nodes += at
+                    distances += [v[0] for v in at.values()]
+                    if len(nodes) > 100_000:
+                        yield pd.DataFrame({"origin_node": origin_nodes, "node": nodes, "distance": distances})
+                        origin_nodes, nodes, distances = [], [], []
+                yield pd.DataFrame({"origin_node": origin_nodes, "node": nodes, "distance": distances})
 
         node = starts.schema["origin_node"].dataType
         schema = T.StructType([T.StructField("origin_node", node), T.StructField("node", node), T.StructField("distance", T.DoubleType())])

@@ -89,7 +89,7 @@ _COVER_SQL = """
 
 def pip_assignment(spark: SparkSession, d: str) -> DataFrame:
     """How many areas cover each record, the area where it is one, and the status."""
-    out = spatial.area_assignment(_listing_points(spark, d), _areas(spark, d))
+    out = spatial.area_assignment(cut(_listing_points(spark, d)), _areas(spark, d))
     status = F.when(F.col("matches") == 1, "unique").when(F.col("matches") == 0, "outside_or_gap").otherwise("multiple_areas")
     return out.select(F.col("id").alias("source_row_number"), "matches", "area_id", status.alias("status"))
 
@@ -104,7 +104,7 @@ from pts p left join cover c using (source_row_number) group by 1
 
 def near_border(spark: SparkSession, d: str) -> DataFrame:
     """Records within 100 m of an area's boundary, with the distance."""
-    near = spatial.boundary_within(_listing_points(spark, d), _areas(spark, d), BORDER_METRES, ["id"])
+    near = spatial.boundary_within(cut(_listing_points(spark, d)), _areas(spark, d), BORDER_METRES, ["id"])
     return near.select(F.col("id").alias("source_row_number"), "area_id", F.round("distance", 3).alias("distance"))
 
 
@@ -220,7 +220,7 @@ def boundary_audit(spark: SparkSession, d: str) -> DataFrame:
     dest = cut(_destinations(spark, d).where("other_x is not null"))
     covered = spatial.containing_area(dest.select("other_id", F.col("other_x").alias("x"), F.col("other_y").alias("y")), areas).select("other_id").distinct()
     outside = cut(dest.join(covered, "other_id", "left_anti"))
-    near = spatial.within_distance(_listing_points(spark, d), outside, 800.0, ["snapshot_date"])
+    near = spatial.within_distance(cut(_listing_points(spark, d)), outside, 800.0, ["snapshot_date"])
     listings = near.groupBy("category").agg(F.count_distinct("id").alias("records_near"))
     return outside.groupBy("category").agg(F.count("*").alias("outside")).join(listings, "category", "left").select("category", "outside", F.coalesce("records_near", F.lit(0)).alias("records_near"))
 
