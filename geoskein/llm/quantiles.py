@@ -238,7 +238,9 @@ def merge_to(sketched: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """Sketches merged to the coarser groups of ``keys`` and field_name."""
     names = [*keys, "field_name"]
     schema = T.StructType([*_key_fields(sketched, names), *SKETCH_FIELDS])
-    return sketched.select(*names, *SKETCH_COLUMNS).groupBy(*names).applyInPandas(_merging(names, k), schema)
+    # few bytes, much work: an explicit number of partitions, which the planner does not merge by bytes
+    spread = sketched.select(*names, *SKETCH_COLUMNS).repartition(int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
+    return spread.groupBy(*names).applyInPandas(_merging(names, k), schema)
 
 
 def percentiles(sketched: DataFrame, keys: list[str], pcts: list[int], k: int = K) -> DataFrame:
