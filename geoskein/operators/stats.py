@@ -6,8 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoskein.operators.relational import wide_to_long
 from geoskein.plans.session import cut, ship
@@ -160,47 +162,69 @@ def token_prevalence(df: DataFrame, array_text: str, tokens: Sequence[str], low:
     return out.withColumn("prevalence_pct", F.round(pct, 4)).withColumn("usable", (pct > low) & (pct < high)).drop("rows")
 
 
-def morans_i(values: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """(n, i, expected) of Moran's I with row-standardised weights: ``values`` (id, value), ``neighbours`` (id, other_id)."""
-    stats = values.agg(F.avg("value").alias("_m"), F.count("*").alias("_n")).first()
-    z = values.select("id", (F.col("value") - F.lit(float(stats["_m"] or 0.0))).alias("z"))
-    lag = neighbours.join(z.withColumnsRenamed({"id": "other_id", "z": "z_other"}), "other_id").groupBy("id").agg(F.avg("z_other").alias("lag"))
-    joined = z.join(lag, "id", "left")
-    out = joined.agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("z") * F.coalesce("lag", F.lit(0.0))), F.sum(F.col("z") * F.col("z"))).alias("i"))
-    return out.select("n", "i", F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("expected"))
+def morans_i(values: DataFrame, neighbours: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., n, i, expected) of Moran's I with row-standardised weights: ``values`` (id, value, keys...), ``neighbours`` (id, other_id, keys...).
+
+    Each group of ``keys`` has a mean of its own; NULL keys belong to no group.
+    """
+    keys = list(keys)
+    if keys:
+        centred = values.join(values.groupBy(*keys).agg(F.avg("value").alias("_m")), keys)
+        z = centred.select("id", *keys, (F.col("value") - F.col("_m")).alias("z"))
+    else:
+        mean = values.agg(F.avg("value")).first()[0]
+        z = values.select("id", (F.col("value") - F.lit(float(mean or 0.0))).alias("z"))
+    lag = neighbours.join(z.withColumnsRenamed({"id": "other_id", "z": "z_other"}), ["other_id", *keys]).groupBy("id", *keys).agg(F.avg("z_other").alias("lag"))
+    joined = z.join(lag, ["id", *keys], "left")
+    out = joined.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("z") * F.coalesce("lag", F.lit(0.0))), F.sum(F.col("z") * F.col("z"))).alias("i"))
+    return out.select(*keys, "n", "i", F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("expected"))
 
 
-def moran_permutation_p(values: DataFrame, neighbours: DataFrame, permutations: int = 499, seed: int = 20260929, most: int = 2_000_000) -> DataFrame:
-    """(observed, p): two-sided p over permuted values, each permutation with a seed of its own.
+def moran_permutation_p(values: DataFrame, neighbours: DataFrame, permutations: int = 499, seed: int = 20260929, most: int = 2_000_000, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., observed, p): two-sided p over values permuted within each group of ``keys``, each permutation with a seed of its own.
 
-    The neighbour lists are held by every task, so the number of points is checked against ``most`` first.
+    The neighbour lists are held by every task, so the number of points is checked against ``most`` first.  Without
+    variance both are NULL; NULL keys belong to no group.
     """
     spark = values.sparkSession
     ship(spark)
+    keys = list(keys)
+    values, neighbours = values.dropna(subset=keys) if keys else values, neighbours.dropna(subset=keys) if keys else neighbours
     if values.count() > most:
         raise ValueError(f"more than {most} points: the permutation test holds the points in each task")
-    rows = values.orderBy("id").toPandas()
-    index = pd.Series(np.arange(len(rows)), index=rows["id"])
-    links = neighbours.toPandas()
-    source, target = index[links["id"]].to_numpy(), index[links["other_id"]].to_numpy()
-    held = spark.sparkContext.broadcast((rows["value"].to_numpy(float), source, target))
+    # Arrow columns, matched group by group: ids never become Python objects of the driver
+    rows = values.select(*keys, "id", F.col("value").cast("double").alias("value")).orderBy(*keys, "id").toArrow()
+    links = neighbours.select(*keys, "id", "other_id").toArrow()
+    groups = sorted({tuple(r[c] for c in keys) for r in rows.select(keys).group_by(keys).aggregate([]).to_pylist()}) if keys else [()]
+    parts = []
+    for group in groups:
+        own, linked = rows, links
+        for c, v in zip(keys, group):
+            own, linked = own.filter(pc.equal(own[c], v)), linked.filter(pc.equal(linked[c], v))
+        ids = own["id"].combine_chunks()
+        parts.append((own["value"].to_numpy(), *(pc.index_in(linked[c], value_set=ids).to_numpy() for c in ("id", "other_id"))))
+    del rows, links
+    held = spark.sparkContext.broadcast(parts)
 
     def statistic(v: np.ndarray, source: np.ndarray, target: np.ndarray) -> float:
         z = v - v.mean()
         count = np.bincount(source, minlength=len(v))
         lag = np.bincount(source, weights=z[target], minlength=len(v)) / np.maximum(count, 1)
-        return float((z * lag).sum() / (z * z).sum())
+        return float((z * lag).sum() / (z * z).sum()) if (z * z).sum() > 0 else float("nan")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, s, t = held.value
         for batch in batches:
-            yield pd.DataFrame({"i": [statistic(np.random.default_rng((seed, int(k))).permutation(v), s, t) for k in batch["id"]]})
-
-    observed = statistic(*held.value)
-    null = spark.range(permutations).repartition(min(permutations, 16)).mapInPandas(run, "i double")
-    centre = null.agg(F.avg("i")).first()[0]
-    out = null.agg(F.count_if(F.abs(F.col("i") - F.lit(centre)) >= abs(observed - centre)).alias("k"), F.count("*").alias("n"))
-    return out.select(F.lit(observed).alias("observed"), ((F.col("k") + 1) / (F.col("n") + 1)).alias("p"))
+            for g, (v, s, t) in enumerate(held.value):
+                yield pd.DataFrame({"g": g, "i": [statistic(np.random.default_rng((seed, int(k))).permutation(v), s, t) for k in batch["id"]]})
+
+    observed = [statistic(*part) for part in parts]
+    null = cut(spark.range(permutations).repartition(min(permutations, 16)).mapInPandas(run, "g int, i double"))
+    centres = dict(null.groupBy("g").agg(F.avg("i")).collect())
+    schema = T.StructType([T.StructField("g", T.IntegerType()), *[values.schema[c] for c in keys], T.StructField("observed", T.DoubleType()), T.StructField("centre", T.DoubleType())])
+    known = spark.createDataFrame([(g, *group, o, centres[g]) for g, (group, o) in enumerate(zip(groups, observed))], schema)
+    beyond = F.count_if(F.abs(F.col("i") - F.col("centre")) >= F.abs(F.col("observed") - F.col("centre")))
+    out = null.join(known, "g").groupBy("g", *keys, "observed").agg(beyond.alias("k"), F.count("*").alias("n"))
+    return out.select(*keys, F.nanvl("observed", F.lit(None).cast("double")).alias("observed"), F.when(~F.isnan("observed"), (F.col("k") + 1) / (F.col("n") + 1)).alias("p"))
 
 
 def distance_bins(pairs: DataFrame, edges: Sequence[float]) -> DataFrame:

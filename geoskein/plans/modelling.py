@@ -110,15 +110,21 @@ select area, count(*) as n, case when count(*) >= 30 then round(corr(cast(a as d
 """
 
 
-def _valued_pois(spark: SparkSession, d: str) -> DataFrame:
+def _valued_pois_all(spark: SparkSession, d: str) -> DataFrame:
     value = F.coalesce(F.length("name"), F.lit(0)).cast("double")
-    pois = table(spark, d, "osm_pois").where("geom_25832 is not null and snapshot_date = date'2011-05-02'")
-    return pois.select(F.col("destination_key").alias("id"), F.col("geom_25832.x").alias("x"), F.col("geom_25832.y").alias("y"), value.alias("value"))
+    pois = table(spark, d, "osm_pois").where("geom_25832 is not null")
+    return pois.select("snapshot_date", F.col("destination_key").alias("id"), F.col("geom_25832.x").alias("x"), F.col("geom_25832.y").alias("y"), value.alias("value"))
+
 
+def _valued_pois(spark: SparkSession, d: str) -> DataFrame:
+    """The one snapshot of the SQL of ``moran_i`` and ``distance_bins``."""
+    return _valued_pois_all(spark, d).where("snapshot_date = date'2011-05-02'").drop("snapshot_date")
 
-def _neighbours(pts: DataFrame) -> DataFrame:
-    other = pts.select(F.col("id").alias("other_id"), F.col("x").alias("other_x"), F.col("y").alias("other_y"))
-    return spatial.k_nearest(pts.select("id", "x", "y"), other, 8, 500.0, exclude_same_id=True).select("id", "other_id")
+
+def _neighbours(pts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    keys = keys or []
+    other = pts.select(F.col("id").alias("other_id"), F.col("x").alias("other_x"), F.col("y").alias("other_y"), *keys)
+    return spatial.k_nearest(pts.select("id", "x", "y", *keys), other, 8, 500.0, exclude_same_id=True, keys=keys).select("id", "other_id", *keys)
 
 
 def moran_i(spark: SparkSession, d: str) -> DataFrame:
@@ -137,10 +143,26 @@ select count(*) as n, round(sum((value - m) * lag) / sum((value - m) ** 2), 6) a
 """
 
 
+def moran_i_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same statistic for every snapshot."""
+    pts = cut(_valued_pois_all(spark, d))
+    out = stats.morans_i(pts.select("id", "value", "snapshot_date"), cut(_neighbours(pts, ["snapshot_date"])), ["snapshot_date"])
+    return out.select("snapshot_date", "n", F.round("i", 6).alias("i"), F.round("expected", 8).alias("expected"))
+
+
+_VALUED_ALL_SQL = "p as (select snapshot_date, destination_key as id, geom_25832.x as x, geom_25832.y as y, cast(coalesce(length(name), 0) as double) as value from osm_pois where geom_25832 is not null)"
+MORAN_I_ALL = f"""
+with {_VALUED_ALL_SQL}, m as (select snapshot_date, avg(value) as m from p group by 1), z as (select p.*, value - m as z from p join m using (snapshot_date)),
+nn as (select * from (select a.id, b.z, row_number() over (partition by a.snapshot_date, a.id order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) as k from z a join z b on a.snapshot_date = b.snapshot_date and a.id <> b.id) where k <= 8),
+lag as (select id, avg(z) as lag from nn group by 1)
+select snapshot_date, count(*) as n, round(sum(z * lag) / sum(z ** 2), 6) as i, round(-1.0 / (count(*) - 1), 8) as expected from z join lag using (id) group by 1
+"""
+
+
 def moran_p(spark: SparkSession, d: str) -> DataFrame:
-    """Two-sided permutation p of the same statistic."""
-    pts = cut(_valued_pois(spark, d))
-    return stats.moran_permutation_p(pts.select("id", "value"), cut(_neighbours(pts)), 99)
+    """Two-sided permutation p of the same statistic for every snapshot."""
+    pts = cut(_valued_pois_all(spark, d))
+    return stats.moran_permutation_p(pts.select("id", "value", "snapshot_date"), cut(_neighbours(pts, ["snapshot_date"])), keys=["snapshot_date"])
 
 
 def distance_bins(spark: SparkSession, d: str) -> DataFrame:
@@ -265,11 +287,11 @@ def freeze_digest(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        fold_area, fold_random, fold_grouped, fold_hashed, fold_trim, support_range, spearman, moran_i, moran_p, distance_bins, vif, ols_fold_metrics,
+        fold_area, fold_random, fold_grouped, fold_hashed, fold_trim, support_range, spearman, moran_i, moran_i_all, moran_p, distance_bins, vif, ols_fold_metrics,
         train_mean_baseline, ols_hc3, ols_summary, grid_support, analysis_view, freeze_digest,
     )
 }
 SQL = {
-    "fold_area": FOLD_AREA, "fold_random": FOLD_RANDOM, "fold_trim": FOLD_TRIM, "support_range": SUPPORT_RANGE, "spearman": SPEARMAN, "moran_i": MORAN_I, "distance_bins": DISTANCE_BINS,
+    "fold_area": FOLD_AREA, "fold_random": FOLD_RANDOM, "fold_trim": FOLD_TRIM, "support_range": SUPPORT_RANGE, "spearman": SPEARMAN, "moran_i": MORAN_I, "moran_i_all": MORAN_I_ALL, "distance_bins": DISTANCE_BINS,
     "vif": VIF, "ols_fold_metrics": OLS_FOLD_METRICS, "train_mean_baseline": TRAIN_MEAN_BASELINE, "ols_hc3": OLS_HC3, "grid_support": GRID_SUPPORT, "analysis_view": ANALYSIS_VIEW,
 }

@@ -130,6 +130,41 @@ def test_moran_and_spearman(spark):
     assert [r.vif for r in stats.vif(df.withColumn("c", F.col("a")), ["a", "c"]).collect()] == [math.inf, math.inf]
 
 
+def test_moran_of_every_group_against_brute_force(spark):
+    from geoskein.plans.modelling import _neighbours
+
+    rng = np.random.default_rng(8)
+    rows = [(g, f"{g}{i}", float(x), float(y), float(v)) for g, n in (("a", 40), ("b", 55)) for i, (x, y, v) in enumerate(zip(*rng.uniform(0, 3000, (2, n)), rng.integers(0, 9, n)))]
+    pts = spark.createDataFrame([*rows, *[("c", f"c{i}", float(i), 0.0, 3.0) for i in range(9)]], "snapshot_date string, id string, x double, y double, value double").cache()
+    near = _neighbours(pts, ["snapshot_date"]).cache()
+    got = {r.snapshot_date: r for r in stats.morans_i(pts, near, ["snapshot_date"]).collect()}
+    p = {r.snapshot_date: r for r in stats.moran_permutation_p(pts, near, keys=["snapshot_date"]).collect()}
+    assert set(got) == set(p) == {"a", "b", "c"} and got["c"].i is None and p["c"].observed is None and p["c"].p is None
+    for g in "ab":
+        own = [r for r in rows if r[0] == g]
+        xy, v = np.array([r[2:4] for r in own]), np.array([r[4] for r in own])
+        z = v - v.mean()
+        links = np.argsort(np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)) + np.diag(np.full(len(own), np.inf)), axis=1)[:, :8]
+        statistic = lambda z: (z * z[links].mean(axis=1)).sum() / (z * z).sum()
+        order = np.argsort([r[1] for r in own])  # permutations run over the rows by id
+        null = []
+        for k in range(499):
+            w = np.empty(len(own))
+            w[order] = np.random.default_rng((20260929, k)).permutation(z[order])
+            null.append(statistic(w))
+        null = np.array(null)
+        want = (1 + (np.abs(null - null.mean()) >= abs(statistic(z) - null.mean())).sum()) / 500
+        assert got[g].n == len(own) and got[g].i == pytest.approx(statistic(z)) and p[g].observed == pytest.approx(statistic(z)) and p[g].p == pytest.approx(want)
+
+
+def test_moran_p_takes_every_snapshot(spark, small):
+    from geoskein.plans.modelling import moran_p
+
+    rows = moran_p(spark, small).collect()
+    assert len({r.snapshot_date for r in rows}) == len(rows) == 4
+    assert all(round(r.p * 500, 6) == round(r.p * 500) for r in rows)
+
+
 def test_contracts(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     twice = spark.createDataFrame([(1, 1), (1, 2)], "k int, w int")
