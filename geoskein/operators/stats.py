@@ -227,8 +227,8 @@ def moran_permutation_p(values: DataFrame, neighbours: DataFrame, permutations:
     return out.select(*keys, F.nanvl("observed", F.lit(None).cast("double")).alias("observed"), F.when(~F.isnan("observed"), (F.col("k") + 1) / (F.col("n") + 1)).alias("p"))
 
 
-def distance_bins(pairs: DataFrame, edges: Sequence[float]) -> DataFrame:
-    """(lower, upper, n, mean_product) of standardised cross-products by distance [lower, upper): ``pairs`` (distance, z1, z2)."""
+def distance_bins(pairs: DataFrame, edges: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., lower, upper, n, mean_product) of standardised cross-products by distance [lower, upper): ``pairs`` (distance, z1, z2, keys...)."""
     d = F.col("distance")
     low = F.lit(None).cast("double")
     for a, b in zip(edges, edges[1:]):
@@ -236,5 +236,5 @@ def distance_bins(pairs: DataFrame, edges: Sequence[float]) -> DataFrame:
     high = F.lit(None).cast("double")
     for a, b in zip(edges, edges[1:]):
         high = F.when((d >= a) & (d < b), F.lit(float(b))).otherwise(high)
-    binned = pairs.select(low.alias("lower"), high.alias("upper"), (F.col("z1") * F.col("z2")).alias("product")).where("lower is not null")
-    return binned.groupBy("lower", "upper").agg(F.count("*").alias("n"), F.avg("product").alias("mean_product"))
+    binned = pairs.select(*keys, low.alias("lower"), high.alias("upper"), (F.col("z1") * F.col("z2")).alias("product")).where("lower is not null")
+    return binned.groupBy(*keys, "lower", "upper").agg(F.count("*").alias("n"), F.avg("product").alias("mean_product"))

@@ -13,6 +13,9 @@ from geoskein.sources.sinks import content_digest
 
 KEY = "row_key"
 BINS = [0.0, 250.0, 500.0, 1000.0, 2000.0]
+ALL_BINS = [*BINS, 4000.0, 8000.0]
+#: Each row meets most rows of its snapshot, so cells of pairs to 8 km are split early.
+ROWS_PER_SALT = 1_000
 
 
 def sample(spark: SparkSession, d: str) -> DataFrame:
@@ -185,6 +188,25 @@ select lower, upper, count(*) as n, round(avg(product), 6) as mean_product from
 """
 
 
+def distance_bins_all(spark: SparkSession, d: str) -> DataFrame:
+    """Mean standardised cross-products of all pairs to 8 km by distance, for every snapshot."""
+    pts = cut(_valued_pois_all(spark, d))
+    moments = pts.groupBy("snapshot_date").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    scored = cut(pts.join(moments, "snapshot_date").select("snapshot_date", "id", "x", "y", F.try_divide(F.col("value") - F.col("m"), F.col("s")).alias("z1")))
+    right = scored.select("snapshot_date", F.col("id").alias("other_id"), F.col("x").alias("other_x"), F.col("y").alias("other_y"), F.col("z1").alias("z2"))
+    pairs = spatial.within_distance(scored, right, ALL_BINS[-1], ["snapshot_date"], ROWS_PER_SALT).where("id < other_id")
+    out = stats.distance_bins(pairs, ALL_BINS, ["snapshot_date"])
+    return out.select("snapshot_date", "lower", "upper", "n", F.round("mean_product", 6).alias("mean_product"))
+
+
+DISTANCE_BINS_ALL = f"""
+with {_VALUED_ALL_SQL}, m as (select snapshot_date, avg(value) as m, stddev_pop(value) as s from p group by 1), z as (select p.*, (value - m) / s as z from p join m using (snapshot_date)),
+d as (select a.snapshot_date, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as dist, a.z * b.z as product from z a join z b on a.snapshot_date = b.snapshot_date and a.id < b.id),
+b(lower, upper) as (values {", ".join(f"(cast({a} as double), cast({b} as double))" for a, b in zip(ALL_BINS, ALL_BINS[1:]))})
+select snapshot_date, lower, upper, count(*) as n, round(avg(product), 6) as mean_product from d join b on dist >= lower and dist < upper group by 1, 2, 3
+"""
+
+
 def vif(spark: SparkSession, d: str) -> DataFrame:
     """Variance inflation of two regressors."""
     return stats.vif(sample(spark, d), ["accommodates", "bedrooms"]).select("variable", F.round("vif", 6).alias("vif"))
@@ -287,11 +309,11 @@ def freeze_digest(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        fold_area, fold_random, fold_grouped, fold_hashed, fold_trim, support_range, spearman, moran_i, moran_i_all, moran_p, distance_bins, vif, ols_fold_metrics,
+        fold_area, fold_random, fold_grouped, fold_hashed, fold_trim, support_range, spearman, moran_i, moran_i_all, moran_p, distance_bins, distance_bins_all, vif, ols_fold_metrics,
         train_mean_baseline, ols_hc3, ols_summary, grid_support, analysis_view, freeze_digest,
     )
 }
 SQL = {
-    "fold_area": FOLD_AREA, "fold_random": FOLD_RANDOM, "fold_trim": FOLD_TRIM, "support_range": SUPPORT_RANGE, "spearman": SPEARMAN, "moran_i": MORAN_I, "moran_i_all": MORAN_I_ALL, "distance_bins": DISTANCE_BINS,
+    "fold_area": FOLD_AREA, "fold_random": FOLD_RANDOM, "fold_trim": FOLD_TRIM, "support_range": SUPPORT_RANGE, "spearman": SPEARMAN, "moran_i": MORAN_I, "moran_i_all": MORAN_I_ALL, "distance_bins": DISTANCE_BINS, "distance_bins_all": DISTANCE_BINS_ALL,
     "vif": VIF, "ols_fold_metrics": OLS_FOLD_METRICS, "train_mean_baseline": TRAIN_MEAN_BASELINE, "ols_hc3": OLS_HC3, "grid_support": GRID_SUPPORT, "analysis_view": ANALYSIS_VIEW,
 }
