@@ -6,8 +6,10 @@ Stages, all on distinct values so that a value repeated in a third of all rows c
 2. a Pandas UDF takes characters back to legacy bytes and runs the UTF-8 automaton over them (``mojibake.py``):
    well-formed spans are decoded, layer by layer;
 3. confusions of two single-byte encodings leave no well-formed span.  Their candidates are decided by the corpus:
-   each changed word must be at least ``min_ratio`` times as frequent restored as garbled (an equality join with
-   the word counts of all values, no collected lexicon);
+   each changed word, in any case, must be at least ``min_ratio`` times as frequent restored as garbled (an equality
+   join with the word counts of all values, no collected lexicon).  Where restoring takes signs out of a word,
+   repeated rows of the garbled word do not count against it: more rows restored than garbled, and ``min_ratio``
+   times the distinct values that hold it garbled, suffice;
 4. values that hold U+FFFD lost the bytes: they count as garbled; words are restored where one corpus word that fits
    the pattern is ``min_ratio`` times as frequent as any other.
 
@@ -32,7 +34,7 @@ MIN_RATIO = 5
 
 _SCAN = (
     "value string, n long, restored string, encoding string, lost boolean, alien boolean, words array<string>, "
-    "candidates array<struct<restored:string,encoding:string,before:array<string>,after:array<string>>>"
+    "candidates array<struct<restored:string,encoding:string,before:array<string>,after:array<string>,odder:array<boolean>>>"
 )
 
 
@@ -45,7 +47,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if fixed is None:
                 for text, encoding in M.single_byte_candidates(value):
                     if changed := M.changed_words(value, text):
-                        candidates.append({"restored": text, "encoding": encoding, "before": [a for a, _ in changed], "after": [b for _, b in changed]})
+                        candidates.append({"restored": text, "encoding": encoding, "before": [a for a, _ in changed], "after": [b for _, b in changed], "odder": [M._oddity(a)[:2] > M._oddity(b)[:2] for a, b in changed]})
             rows.append((value, n, fixed and fixed[0], fixed and fixed[1], M.REPLACEMENT in value, M.mixed_script(value), M.words(value), candidates))
         yield pd.DataFrame(rows, columns=["value", "n", "restored", "encoding", "lost", "alien", "words", "candidates"])
 
@@ -68,23 +70,35 @@ def garbled_values(values: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame
         .where(F.col("word").rlike(NON_ASCII))
     )
 
+    folded = (
+        scanned.where("restored is null")
+        .select("n", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("word"))
+        .where(F.col("word").rlike(NON_ASCII))
+        .groupBy("word").agg(F.sum("n").alias("word_n"), F.count("*").alias("values_n"))
+    )
+
     utf8 = scanned.where("restored is not null").select("value", "restored", "encoding")
 
     # single-byte confusions: evidence for each changed word
     tried = (
         scanned.where("restored is null and size(candidates) > 0")
         .select("value", "alien", F.posexplode("candidates").alias("c", "cand"))
-        .select("value", "alien", "c", "cand.restored", "cand.encoding", F.explode(F.arrays_zip("cand.before", "cand.after")).alias("w"))
-        .select("value", "alien", "c", "restored", "encoding", F.col("w.before").alias("before"), F.col("w.after").alias("after"))
+        .select("value", "alien", "c", "cand.restored", "cand.encoding", F.explode(F.arrays_zip("cand.before", "cand.after", "cand.odder")).alias("w"))
+        .select("value", "alien", "c", "restored", "encoding", F.lower("w.before").alias("before"), F.lower("w.after").alias("after"), F.col("w.after").alias("spelled"), "w.odder")
     )
     # one join finds the counts of garbled and of restored words alike
-    asked = tried.select(F.explode(F.array("before", "after")).alias("word")).distinct().join(counts, "word")
+    asked = tried.select(F.explode(F.array("before", "after")).alias("word")).distinct().join(folded, "word")
+    # in the case it would have, the restored word must be there too
+    spellings = tried.select(F.col("spelled").alias("word")).distinct().join(counts, "word")
+    own, known = F.coalesce("before_n", F.lit(0)), F.coalesce("before_values", F.lit(0))
+    more_rows = (F.col("after_n") > own) & (F.col("after_n") >= min_ratio * known) & F.col("odder")
     weighed = (
-        tried.join(asked.select(F.col("word").alias("before"), F.col("word_n").alias("before_n")), "before", "left")
+        tried.join(asked.select(F.col("word").alias("before"), F.col("word_n").alias("before_n"), F.col("values_n").alias("before_values")), "before", "left")
         .join(asked.select(F.col("word").alias("after"), F.col("word_n").alias("after_n")), "after", "left")
-        .withColumn("good", F.coalesce(F.col("after_n") >= min_ratio * F.coalesce("before_n", F.lit(0)), F.lit(False)))
+        .join(spellings.select(F.col("word").alias("spelled"), F.col("word_n").alias("spelled_n")), "spelled", "left")
+        .withColumn("good", F.col("spelled_n").isNotNull() & F.coalesce((F.col("after_n") >= min_ratio * own) | more_rows, F.lit(False)))
         .groupBy("value", "alien", "c", "restored", "encoding")
-        .agg(F.min("good").alias("every"), F.max("good").alias("some"), F.min(F.coalesce("after_n", F.lit(0))).alias("support"))
+        .agg(F.min("good").alias("every"), F.max("good").alias("some"), F.min(F.coalesce("spelled_n", F.lit(0))).alias("support"))
         .where("every or (alien and some)")
         .groupBy("value")
         .agg(F.max_by(F.struct("restored", "encoding"), F.struct("every", "support", F.col("restored"))).alias("best"))

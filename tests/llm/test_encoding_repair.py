@@ -48,6 +48,15 @@ def test_evidence_for_single_byte_confusion(spark):
     assert set(got) == {"M°llestien", "Mеlшvang", "M�llestien", "�x�y"}
 
 
+def test_neither_repetition_nor_a_rare_case_vetoes(spark):
+    # a third of the rows come from a wrongly decoded file; 'østerlund' is rare in lower case
+    rows = ["Amløse Vest"] * 20 + ["Aml°se Vest"] * 10 + ["Østerlund"] * 30 + ["østerlund"] * 4 + ["¿sterlund"]
+    # correct: more frequent than what they could be restored to, or no sign goes
+    rows += ["3° Nord"] * 12 + ["3ø"] * 6 + ["Ïle"] * 10 + ["Øle"] * 20 + ["Zone µ"] * 3
+    got = {r.value: r.restored for r in garbled_values(_values(spark, rows)).collect()}
+    assert got == {"Aml°se Vest": "Amløse Vest", "¿sterlund": "østerlund"}
+
+
 def test_records_with_extra_columns_and_repeats(spark):
     rows = [(1, "AmlÃ¸se", "x", 1), (1, "AmlÃ¸se", "x", 1), (2, None, None, None), (3, "Amløse", "Ã˜", 3)]
     df = spark.createDataFrame(rows, "key long, a string, b string, n long")
