@@ -12,6 +12,7 @@ from geoskein.llm.encoding_repair import garbled_values, repair_records, stack_f
 from geoskein.llm.mixing import mix, quality_weight, reached_shares
 from geoskein.llm.packing import pack_all
 from geoskein.llm.place_groups import place_links
+from geoskein.llm.readability import CLASSIC
 from geoskein.llm.reading_level import reading_levels
 from geoskein.llm.tokens import token_count, token_counts
 from geoskein.plans.session import cut, ship, table
@@ -168,6 +169,11 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
+def p9_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """The levels by sentence length, syllables and letters alone, without any list of words."""
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"), CLASSIC)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where("level >= 3.5").select("doc_id").distinct()
 
@@ -183,7 +189,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         p1_repaired, p1_found, p3_percentiles, p3_found, p4_groups, p4_found, p5_found,
-        p7_containers, p7_fill, p8_uses, p8_shares, p9_levels, p9_found, p9_profile,
+        p7_containers, p7_fill, p8_uses, p8_shares, p9_levels, p9_formulas, p9_found, p9_profile,
     )
 }
 
