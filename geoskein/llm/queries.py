@@ -10,7 +10,7 @@ from geoskein.llm.canonical import map_to_entries
 from geoskein.llm.components import connected_components
 from geoskein.llm.encoding_repair import garbled_values, repair_records, stack_fields
 from geoskein.llm.mixing import mix, quality_weight, reached_shares
-from geoskein.llm.packing import pack_all
+from geoskein.llm.packing import bucket_report, pack_all
 from geoskein.llm.place_groups import place_links
 from geoskein.llm.readability import CLASSIC
 from geoskein.llm.reading_level import reading_levels
@@ -137,6 +137,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_all(token_counts(table(spark, d, "documents")), table(spark, d, "pack_capacities"))
 
 
+def p7_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The buckets of each capacity with their padding, and the containers that batches inside each bucket alone would take."""
+    return bucket_report(token_counts(table(spark, d, "documents")), table(spark, d, "pack_capacities"))
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers of each capacity are."""
     packed = p7_containers(spark, d)
@@ -151,8 +156,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 def _weighted(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     text = F.col("text")
-    weight = quality_weight(F.coalesce(text, F.lit("")))
-    return cut(table(spark, d, "documents").select("doc_id", "source", weight.alias("weight"), token_count(text).alias("tokens")))
+    return table(spark, d, "documents").select("doc_id", "source", quality_weight(text).alias("weight"), token_count(text).alias("tokens"))
 
 
 def p8_uses(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +193,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         p1_repaired, p1_found, p3_percentiles, p3_found, p4_groups, p4_found, p5_found,
-        p7_containers, p7_fill, p8_uses, p8_shares, p9_levels, p9_formulas, p9_found, p9_profile,
+        p7_containers, p7_buckets, p7_fill, p8_uses, p8_shares, p9_levels, p9_formulas, p9_found, p9_profile,
     )
 }
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoskein.llm import mixing, packing
 from geoskein.llm.tokens import encode, encoder, token_counts
@@ -19,6 +20,36 @@ def test_bounds_are_optimal():
         assert len(got) <= 3 and pad(got) == best
 
 
+def test_bounds_of_thousands_of_lengths():
+    rng = np.random.default_rng(3)
+    lengths = np.sort(rng.choice(np.arange(1, 8192), 3000, replace=False))
+    counts = rng.integers(1, 50, len(lengths))
+    bounds = packing.bucket_bounds(lengths, counts, 64)
+    pad = lambda b: int((counts * (np.asarray(b)[np.searchsorted(b, lengths)] - lengths)).sum())
+    best = pad(bounds)
+    assert len(bounds) <= 64 and bounds[-1] == lengths[-1]
+    for i in range(len(bounds) - 1):  # no boundary can move to a better neighbour
+        at = int(np.searchsorted(lengths, bounds[i]))
+        for other in (lengths[at - 1], lengths[at + 1]):
+            assert pad(sorted({*bounds[:i], int(other), *bounds[i + 1 :]})) >= best
+
+
+def test_fill_of_large_containers(spark):
+    rng = np.random.default_rng(8)
+    items = [(i, int(t)) for i, t in enumerate(rng.integers(1, 6000, 4000))]
+    df = spark.createDataFrame(items, "doc_id long, tokens long")
+    rows = packing.pack(df, 8192).groupBy("container").sum("tokens").collect()
+    assert sum(r[1] for r in rows) == sum(t for _, t in items) and max(r[1] for r in rows) <= 8192
+    assert sum(t for _, t in items) / (8192 * len(rows)) > 0.97  # 4000 items, so the last containers weigh
+
+
+def test_bucket_report(spark):
+    df = spark.createDataFrame([(1, 3), (2, 4), (3, 9), (4, 10), (5, 25)], "doc_id long, tokens long")
+    caps = spark.createDataFrame([(7, 20), (8, None), (None, 5)], "capacity_id long, capacity_tokens int")
+    rows = sorted(packing.bucket_report(df, caps, 2).collect(), key=lambda r: r.longest)
+    assert [(r.capacity_id, r.longest, r.items, r.tokens, r.padding, r.containers) for r in rows] == [(7, 5, 3, 12, 3, 1), (7, 10, 2, 19, 1, 1)]
+
+
 @pytest.mark.parametrize("slot_rows", [7, 500_000])
 def test_containers_hold_every_token_once(spark, monkeypatch, slot_rows):
     monkeypatch.setattr(packing, "ROWS_PER_SLOT", slot_rows)
@@ -77,13 +108,55 @@ def test_shares_and_epochs(spark):
 def test_partial_pass_is_the_prefix_of_the_keys(spark):
     docs = [(i, "s", 10, 0.1 + (i % 7)) for i in range(500)]
     uses, _ = _mix(spark, docs, [("s", 1.0, 1)], total_tokens=1234)
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(docs, "doc_id long, source string, tokens long, weight double")
     order = [r.doc_id for r in df.withColumn("k", mixing.exponential_key(F.col("doc_id"), F.col("weight"))).orderBy("k").collect()]
     assert {i for i, u in uses.items() if u} == set(order[:123])
 
 
+@pytest.mark.parametrize("rows_in_bin", [3, 200_000])
+def test_passes_against_a_plain_loop(spark, monkeypatch, rows_in_bin):
+    """Long documents stand in the way of the budget; weights at the floor crowd the keys."""
+    monkeypatch.setattr(mixing, "ROWS_IN_BIN", rows_in_bin)
+    rng = random.Random(9)
+    docs = [(i, "ab"[i % 2], rng.choice([1, 3, 5, 40, 400, 900]), rng.choice([0.0, 1e-9, 0.05, 1.0])) for i in range(400)]
+    uses, shares = _mix(spark, docs, [("a", 0.3, 1), ("b", 0.7, 1)])
+    df = spark.createDataFrame(docs, "doc_id long, source string, tokens long, weight double")
+    keys = {r.doc_id: r.k for r in df.withColumn("k", mixing.exponential_key(F.col("doc_id"), F.greatest("weight", F.lit(1e-6)))).collect()}
+    for source in "ab":
+        left = gap = shares[source].budget - shares[source].epochs * shares[source].available
+        want, after = set(), None
+        own = sorted((keys[i], i, t) for i, s, t, _ in docs if s == source)
+        while shares[source].epochs < shares[source].max_repeats:
+            gap, stop = left, None
+            for k, i, t in own:
+                if (after is None or (k, i) > after) and t <= gap:
+                    if t > left:
+                        stop = (k, i)
+                        break
+                    want.add(i)
+                    left -= t
+            if stop is None or left <= mixing.TOLERANCE * shares[source].budget:
+                break
+            after = stop
+        assert {i for i, s, _, _ in docs if s == source and uses[i] > shares[source].epochs} == want
+        assert shares[source].budget - shares[source].mixed_tokens <= max(1, 0.01 * shares[source].budget)
+
+
+def test_repeated_ids_have_a_defined_row(spark):
+    docs = [(1, "b", 7, 1.0), (1, "a", 9, 1.0), (2, "a", 4, float("nan"))]
+    for rows in (docs, docs[::-1]):
+        uses, shares = _mix(spark, rows, [("a", 1.0, 1), ("b", 0.0, 1)])
+        assert uses == {1: 1, 2: 1} and shares["a"].mixed_tokens == 13
+
+
+def test_quality_weight(spark):
+    texts = {"plain": "The garden lies behind the house, and a path leads from there to the old mill at the lake.",
+             "loop": "cheap cheap " * 40, "signs": "@@ ## 12 34 " * 20, "empty": ""}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string").union(spark.createDataFrame([("null", None)], "name string, text string"))
+    got = {r.name: r.w for r in df.select("name", mixing.quality_weight(F.col("text")).alias("w")).collect()}
+    assert got["plain"] > 0.8 and got["loop"] < 0.3 and got["signs"] < 0.1 and got["empty"] == got["null"] == 0.05
+
+
 def test_empty_mix(spark):
     assert _mix(spark, [], [])[0] == {}
     assert _mix(spark, [(1, "a", 5, 1.0)], [])[0] == {1: 0}
