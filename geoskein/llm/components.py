@@ -7,10 +7,10 @@ others to it: those links are the edges of the next round.  A vertex that repres
 (the largest vertex always does, in practice most do); one that represents others stays, linked to its parent.  So
 the edges shrink until none is left; then the parents are followed from the last round to the first.
 
-Scale: a cell holds at most about ``edges_per_cell`` edges, since B follows the number of edges and a cell that is
-larger (a hub's row) is cut into parts by a hash of its edges: union-find may run on any subset.  What a vertex
-receives in the exchange is bounded by the cells of its row and column.  Rounds are cut by checkpoints in the shared
-folder.  Nothing but row counts comes to the driver.
+Scale: there are as many cells as cores, as long as each gets ``LEAST_IN_CELL`` edges, and more where a cell would
+hold above ``edges_per_cell``; a cell that still is larger (a hub's row) is cut into parts by a hash of its edges, as
+union-find may run on any subset.  What a vertex receives in the exchange is bounded by the cells of its row and
+column.  A round is two shuffles and one checkpoint in the shared folder.  Nothing but row counts comes to the driver.
 
 Defined results: every vertex of an edge gets the smallest vertex of its component (byte order for strings); loops
 keep a vertex with itself; repeated edges change nothing; edges with a NULL end are left out; no edges, no rows.
@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from geoskein.plans.session import cut, ship
 
 EDGES_PER_CELL = 400_000
+#: Edges for which a cell of its own pays.
+LEAST_IN_CELL = 1_000
 
 
 def smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -68,39 +70,48 @@ def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     x, root = local_forest(pdf["a"], pdf["b"])
-    return pd.DataFrame({"x": x, "root": root})
+    own = np.unique(root)  # a representative tells the exchange that it is one
+    return pd.DataFrame({"x": np.concatenate([x, own]), "root": np.concatenate([root, own])})
 
 
-def connected_components(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
+def _gridded(edges: DataFrame, blocks: int, edges_per_cell: int, count: int) -> DataFrame:
+    """The edges, smaller end first, with the row, column and part of their cell."""
+    block = lambda end: F.pmod(F.xxhash64(end), F.lit(blocks))
+    cells = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).select("a", "b", block("a").alias("row"), block("b").alias("col"))
+    if count <= edges_per_cell:  # so no cell is larger
+        return cells.withColumn("part", F.lit(0).cast("long"))
+    # at most blocks**2 sizes, a few hundred thousand for 10**11 edges
+    sizes = cells.groupBy("row", "col").agg(F.ceil(F.count("*") / edges_per_cell).alias("parts"))
+    return cells.join(sizes, ["row", "col"]).withColumn("part", F.pmod(F.xxhash64("b", "a"), "parts")).drop("parts")
+
+
+def connected_components(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL, least_in_cell: int = LEAST_IN_CELL) -> DataFrame:
     """(vertex, component) for the edges (a, b) of any orderable key type."""
-    ship(edges.sparkSession)
+    spark = edges.sparkSession
+    ship(spark)
     kind = edges.schema["a"].dataType
     pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     forest = T.StructType([T.StructField("x", kind), T.StructField("root", kind)])
     given = edges.select("a", "b").where("a is not null and b is not null")
-    alone = given.where("a = b").select(F.col("a").alias("vertex")).distinct()
+    loops = cut(given.where("a = b").select(F.col("a").alias("vertex")).distinct())
     open_ = cut(given.where("a <> b").mapInPandas(_reduce, pair))
+    count = open_.count()
     rounds: list[DataFrame] = []
-    while (count := open_.count()) > 0:
-        blocks = max(1, int(np.ceil(np.sqrt(count / edges_per_cell))))
-        gridded = open_.select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        ).select("a", "b", F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("row"), F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("col"))
-        if blocks > 1:
-            # at most blocks**2 sizes, a few hundred thousand for 10**11 edges
-            sizes = gridded.groupBy("row", "col").agg(F.ceil(F.count("*") / edges_per_cell).alias("parts"))
-            gridded = gridded.join(sizes, ["row", "col"]).withColumn("part", F.pmod(F.xxhash64("b", "a"), "parts"))
-        else:
-            gridded = gridded.withColumn("part", F.lit(0).cast("long"))
-        reached = gridded.groupBy("row", "col", "part").applyInPandas(_cell, forest)
-        reached = cut(reached)
-        exchanged = reached.groupBy("x").agg(F.min("root").alias("parent"), F.collect_set("root").alias("roots"))
-        representing = reached.select(F.col("root").alias("x")).distinct().withColumn("stays", F.lit(True))
-        exchanged = cut(exchanged.join(representing, "x", "left"))
-        rounds.append(exchanged.where("stays is null").select("x", "parent"))
-        linked = exchanged.where("size(roots) > 1").select(F.col("parent").alias("a"), F.explode("roots").alias("b")).where("a <> b")
-        kept = exchanged.where("stays").select(F.col("parent").alias("a"), F.col("x").alias("b"))
-        open_ = cut(linked.unionByName(kept).mapInPandas(_reduce, pair))
+    while count > 0:
+        lanes = min(np.sqrt(spark.sparkContext.defaultParallelism), np.sqrt(count / least_in_cell))
+        blocks = max(1, int(np.ceil(max(lanes, np.sqrt(count / edges_per_cell)))))
+        cells = _gridded(open_, blocks, edges_per_cell, count)
+        # an explicit number of partitions: few bytes, much work
+        reached = cells.repartition(blocks * blocks, "row", "col", "part").groupBy("row", "col", "part").applyInPandas(_cell, forest)
+        other = F.col("root") != F.col("x")
+        exchanged = cut(
+            reached.groupBy("x").agg(F.min("root").alias("parent"), F.collect_set(F.when(other, F.col("root"))).alias("roots"), F.max(~other).alias("stays")).where("size(roots) > 0")
+        )
+        rounds.append(exchanged.where("not stays").select("x", "parent"))
+        links = F.array_union(F.array_remove("roots", F.col("parent")), F.when(F.col("stays"), F.array("x")).otherwise(F.array().cast(T.ArrayType(kind))))
+        linked = exchanged.select(F.col("parent").alias("a"), F.explode(links).alias("b"))
+        open_ = linked.mapInPandas(_reduce, pair)
+        count = exchanged.agg(F.sum(F.size("roots") - 1 + F.col("stays").cast("int"))).first()[0] or 0  # at least the edges left
     labels = None
     for parents in reversed(rounds):
         own = parents.select(F.col("x").alias("vertex"), F.col("parent").alias("component"))
@@ -110,7 +121,7 @@ def connected_components(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL)
             own = cut(own)
         labels = own
     if labels is None:
-        return alone.select("vertex", F.col("vertex").alias("component"))
-    roots = labels.select(F.col("component").alias("vertex")).union(alone).distinct()
-    roots = roots.join(labels.select("vertex"), "vertex", "left_anti")
+        return loops.select("vertex", F.col("vertex").alias("component"))
+    # what represents a component never retired, so it has no label of its own yet
+    roots = labels.select(F.col("component").alias("vertex")).union(loops.join(labels, "vertex", "left_anti")).distinct()
     return labels.unionByName(roots.select("vertex", F.col("vertex").alias("component")))

@@ -1,9 +1,11 @@
 """Links between rows that describe the same place, without listing the pairs within a group.
 
-A shared key (an OSM object, a grid cell) becomes a vertex of its own that its rows are linked to: n rows cost n
-edges, not n squared.  Distance rules work on grid cells whose diagonal is the radius: rows of one cell are always
-near enough, and two cells need a single pair of points near enough to be linked.  For that pair only the outline
-of a cell matters: towards a cell on the right, the rightmost point at each height.
+Rows that share a key are linked to the smallest of them: n rows cost n - 1 edges, not n squared.  Distance rules work
+on grid cells whose diagonal is the radius: rows of one cell are always near enough, and two cells need a single pair
+of points near enough to be linked.  That pair is looked for in the boxes around the points of each cell's 4 x 4
+parts: two boxes whose farthest corners are within the radius hold such a pair, two boxes whose nearest points are
+not hold none, and what is left undecided is cut into 4 x 4 parts again.  A box around one point decides at once.
+So two cells compare at most 16 boxes a depth with 16 others, however many points they hold.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from geoskein.functions.text import normalized_name
 from geoskein.plans.session import cut, ship
 
+#: Parts of a cell along each axis (a power of two), cells of a block along each axis.
+PARTS, BLOCK = 4, 8
+
 # Metres within which equal names, equal Wikidata numbers mean one place.
 NAME_METRES = {"food_social": 35.0, "cultural_tourist": 60.0, "station": 250.0}
 WIKIDATA_METRES = {"food_social": 100.0, "cultural_tourist": 150.0, "station": 500.0}
@@ -28,39 +33,101 @@ def metres(by_category: dict[str, float]) -> Column:
     return out
 
 
-def hub(*parts) -> Column:
-    """A vertex for a shared key; it sorts after every vertex of a row ('r...')."""
-    return F.concat(F.lit("z"), F.md5(F.concat_ws("\x1f", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])))
+def shared_links(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges (a, b) that connect the rows (vertex, keys...) of equal keys: each with the smallest of its key.
+
+    Most keys have one row or two and are settled by the aggregate alone.
+    """
+    groups = cut(rows.groupBy(*keys).agg(F.min("vertex").alias("a"), F.max("vertex").alias("b"), F.count("*").alias("n")).where("a < b"))
+    several = rows.join(groups.where("n > 2").select(*keys, "a"), keys).select("a", F.col("vertex").alias("b")).where("a < b")
+    return groups.where("n = 2").select("a", "b").unionByName(several)
+
+
+def _boxes(points: DataFrame, node: list[str], depth: int, carried: list[str]) -> DataFrame:
+    """Each node (``node`` columns) with its points, the smallest vertex, and the boxes around the points of its parts of ``depth``."""
+    fine = F.col("side") / float(PARTS**depth)
+    parts = points.withColumn("ux", F.floor(F.col("x") / fine).cast("long")).withColumn("uy", F.floor(F.col("y") / fine).cast("long"))
+    boxed = parts.groupBy(*node, "ux", "uy").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+        F.min("vertex").alias("least"), F.max("vertex").alias("most"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in carried],
+    )
+    # at most PARTS**2 boxes: dividing by a power of two is exact, so no part reaches over the rim of its node
+    return boxed.groupBy(*node).agg(
+        F.collect_list(F.struct("ux", "uy", "x0", "x1", "y0", "y1")).alias("boxes"),
+        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"), *[F.first(c).alias(c) for c in carried],
+    )
+
+
+# SQL: squares of the least and the largest distance of the boxes p and q
+_GAP = "greatest(0D, q.{c}0 - p.{c}1, p.{c}0 - q.{c}1)"
+_SPAN = "greatest(q.{c}1 - p.{c}0, p.{c}1 - q.{c}0)"
+_NEAREST = f"{_GAP.format(c='x')} * {_GAP.format(c='x')} + {_GAP.format(c='y')} * {_GAP.format(c='y')}"
+_FARTHEST = f"{_SPAN.format(c='x')} * {_SPAN.format(c='x')} + {_SPAN.format(c='y')} * {_SPAN.format(c='y')}"
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """Adds ``linked``, and in ``open`` the pairs of parts that are undecided where nothing links, to pairs of nodes with ``left`` and ``right`` boxes."""
+    linked = F.expr(f"exists(left, p -> exists(right, q -> {_FARTHEST} <= radius * radius))")
+    undecided = F.expr(
+        f"""flatten(transform(left, p -> transform(filter(right, q -> {_NEAREST} <= radius * radius),
+                                                   q -> struct(p.ux as lux, p.uy as luy, q.ux as rux, q.uy as ruy))))"""
+    )
+    return pairs.withColumn("linked", linked).withColumn("open", F.when(~F.col("linked"), undecided))
 
 
 def near_links(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Edges (a, b) that connect exactly the rows (vertex, keys..., radius, x, y) of equal keys joined by steps of at most ``radius``.
 
     The keys travel as one digest of 16 bytes, and keys that a single row has are left out before cells are made.
+    Cells meet their neighbours in blocks of cells: a cell is sent to the blocks within two cells of it.
     """
     side = F.col("radius") / math.sqrt(2.0) * (1 - 1e-9)
     digest = F.unhex(F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys], F.col("radius").cast("string"))))
-    placed = rows.where("x is not null and y is not null and radius is not null and not isnan(x) and not isnan(y)").select("vertex", digest.alias("k"), "radius", "x", "y")
-    placed = cut(placed)
+    placed = rows.where("x is not null and y is not null and radius > 0 and not isnan(x) and not isnan(y)").select("vertex", digest.alias("k"), "radius", side.alias("side"), "x", "y")
     several = placed.groupBy("k").count().where("count > 1").select("k")
-    celled = placed.join(several, "k", "left_semi").withColumn("cx", F.floor(F.col("x") / side).cast("long")).withColumn("cy", F.floor(F.col("y") / side).cast("long"))
-    celled = cut(celled)
-    cell = lambda cx, cy: F.concat(F.lit("z"), F.md5(F.concat(F.hex("k"), F.lit("|"), cx.cast("string"), F.lit("|"), cy.cast("string"))))
-    own = celled.select(F.col("vertex").alias("a"), cell(F.col("cx"), F.col("cy")).alias("b"))
-
-    def across(by: str, along: str, offsets: list[tuple[int, int]]) -> DataFrame:
-        outline = celled.groupBy("k", "cx", "cy", by).agg(F.max(along).alias("last"), F.min(along).alias("first"), F.first("radius").alias("radius"))
-        steps = F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in offsets])
-        left = outline.select("k", "cx", "cy", "radius", F.col(by).alias("lby"), "last", F.explode(steps).alias("step")).select(
-            "k", (F.col("cx") + F.col("step.dx")).alias("cx"), (F.col("cy") + F.col("step.dy")).alias("cy"), F.col("cx").alias("lx"), F.col("cy").alias("ly"), "lby", "last", "radius"
+    cell = lambda c: F.floor(F.col(c) / F.col("side")).cast("long")
+    celled = cut(placed.join(several, "k", "left_semi").withColumn("cx", cell("x")).withColumn("cy", cell("y")))
+    cells = cut(_boxes(celled, ["k", "cx", "cy"], 1, ["radius"]))
+    inside = cells.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
+    crowd = celled.join(cells.where("n > 2").select("k", "cx", "cy", "least"), ["k", "cx", "cy"]).select(F.col("least").alias("a"), F.col("vertex").alias("b"))
+
+    block = lambda c, d: F.floor((F.col(c) + d) / BLOCK).cast("long")
+    lefts = cells.select("k", block("cx", 0).alias("bx"), block("cy", 0).alias("by"), "cx", "cy", "radius", F.col("boxes").alias("left"), F.col("least").alias("a"))
+    rights = (
+        cells.select("k", "cx", "cy", F.col("boxes").alias("right"), F.col("least").alias("b"), F.explode(F.array_distinct(F.array(block("cx", -2), block("cx", 0)))).alias("bx"))
+        .withColumn("by", F.explode(F.array_distinct(F.array(block("cy", -2), block("cy", 0), block("cy", 2)))))
+        .withColumnsRenamed({"cx": "rx", "cy": "ry"})
+    )
+    # each pair of cells at most two apart once: the right one follows in x, then in y
+    beside = lefts.join(rights, ["k", "bx", "by"]).where("rx between cx and cx + 2 and ry between cy - 2 and cy + 2 and (rx > cx or ry > cy)")
+    met = cut(_compared(beside).where("linked or size(open) > 0").select("k", "radius", "a", "b", "cx", "cy", "rx", "ry", "linked", "open"))
+    links = [met.where("linked").select("a", "b")]
+    undecided = met.where("not linked")
+    depth = 1
+    while not undecided.isEmpty():
+        # the parts asked for become the nodes of the next depth
+        asked = cut(undecided.select("k", "radius", "a", "b", F.explode("open").alias("o")).select("k", "radius", "a", "b", "o.*"))
+        node = ["k", "ux", "uy"]
+        wanted = asked.select("k", F.explode(F.array(F.struct(F.col("lux").alias("ux"), F.col("luy").alias("uy")), F.struct(F.col("rux").alias("ux"), F.col("ruy").alias("uy")))).alias("u")).select("k", "u.*").distinct()
+        fine = F.col("side") / float(PARTS**depth)
+        inner = celled.withColumn("ux", F.floor(F.col("x") / fine).cast("long")).withColumn("uy", F.floor(F.col("y") / fine).cast("long")).join(wanted, node, "left_semi")
+        named = inner.withColumnsRenamed({"ux": "nx", "uy": "ny"})
+        nodes = _boxes(named, ["k", "nx", "ny"], depth + 1, []).select("k", "nx", "ny", "boxes")
+        nodes = cut(nodes)
+        pairs = asked.join(nodes.withColumnsRenamed({"nx": "lux", "ny": "luy", "boxes": "left"}), ["k", "lux", "luy"]).join(
+            nodes.withColumnsRenamed({"nx": "rux", "ny": "ruy", "boxes": "right"}), ["k", "rux", "ruy"]
         )
-        right = outline.select("k", "cx", "cy", F.col(by).alias("rby"), "first")
-        near = (F.pow(F.col("first") - F.col("last"), 2) + F.pow(F.col("rby") - F.col("lby"), 2)) <= F.col("radius") * F.col("radius")
-        linked = left.join(right, ["k", "cx", "cy"]).where(near).select("k", "cx", "cy", "lx", "ly").distinct()
-        return linked.select(cell(F.col("lx"), F.col("ly")).alias("a"), cell(F.col("cx"), F.col("cy")).alias("b"))
-
-    right_of = [(dx, dy) for dx in (1, 2) for dy in (-2, -1, 0, 1, 2)]
-    return own.unionByName(across("y", "x", right_of)).unionByName(across("x", "y", [(0, 1), (0, 2)]))
+        judged = _compared(pairs.select("k", "radius", "a", "b", "left", "right")).where("linked or size(open) > 0")
+        # one link settles two cells, whatever their other parts say; open parts of the same cells stay rows of their own
+        judged = cut(judged.select("k", "radius", "a", "b", "linked", "open"))
+        found = judged.where("linked").select("a", "b").distinct()
+        links.append(found)
+        undecided = judged.where("not linked").join(found, ["a", "b"], "left_anti")
+        depth += 1
+    out = inside.unionByName(crowd.where("a < b"))
+    for link in links:
+        out = out.unionByName(link)
+    return out
 
 
 def osm_objects(rows: DataFrame) -> DataFrame:
@@ -102,7 +169,7 @@ def place_links(pois: DataFrame) -> DataFrame:
             F.col("geom_25832.x").alias("x"), F.col("geom_25832.y").alias("y"),
         )
     )
-    shared = osm_objects(rows).select(F.col("vertex").alias("a"), hub(F.lit("object"), "snapshot_date", "osm_type", "osm_id").alias("b"))
+    shared = shared_links(osm_objects(rows), ["snapshot_date", "osm_type", "osm_id"])
     named = rows.where("norm <> ''").withColumn("radius", metres(NAME_METRES)).withColumn("tie", F.concat(F.lit("name:"), "norm"))
     numbered = rows.where("qid <> ''").withColumn("radius", metres(WIKIDATA_METRES)).withColumn("tie", F.concat(F.lit("q:"), "qid"))
     tied = named.unionByName(numbered).select("vertex", "snapshot_date", "category", "tie", "radius", "x", "y")

@@ -120,7 +120,7 @@ where case when field_name = 'price_nightly' then greatest(a, b) > 1.5 * least(a
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every row of osm_pois with the smallest destination_key of its group."""
     pois = table(spark, d, "osm_pois")
-    labels = connected_components(place_links(pois)).where("vertex < 'z'")
+    labels = connected_components(place_links(pois))
     rest = F.expr("substring(vertex, 2)")
     grouped = labels.select(rest.alias("destination_key"), F.expr("substring(component, 2)").alias("group_key"))
     return pois.select("destination_key").join(grouped, "destination_key", "left").select("destination_key", F.coalesce("group_key", "destination_key").alias("group_key"))

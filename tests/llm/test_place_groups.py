@@ -57,3 +57,42 @@ def test_rules_of_one_place(spark):
     assert place_links(pois.limit(0)).count() == 0
     own = pois.selectExpr("destination_key as vertex", "*")
     assert {r.osm_id for r in osm_objects(own.where("vertex = 'c'")).collect()} == {3}
+
+
+def _labels(spark, rows, radius):
+    df = spark.createDataFrame([(f"r{i:06d}", "k", radius, x, y) for i, (x, y) in enumerate(rows)], "vertex string, k string, radius double, x double, y double")
+    edges = near_links(df, ["k"])
+    found = {r.vertex: r.component for r in connected_components(edges).collect()}
+    return edges.count(), [int(found.get(f"r{i:06d}", f"r{i:06d}")[1:]) for i in range(len(rows))]
+
+
+def _chained(rows, radius):
+    n = len(rows)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if (rows[i][0] - rows[j][0]) ** 2 + (rows[i][1] - rows[j][1]) ** 2 <= radius * radius]
+    groups = _groups(pairs, list(range(n)))
+    return [groups[i] for i in range(n)]
+
+
+def test_crowds_on_either_side_of_the_radius(spark):
+    """Two dense crowds whose nearest points are just within or just beyond the radius are parted or joined exactly."""
+    rng = random.Random(12)
+    for gap in (10.0, 10.0000001, 9.9999999, 10.01):
+        left = [(1000 - rng.uniform(0, 3) ** 2, 500 + rng.uniform(-3, 3)) for _ in range(120)] + [(1000.0, 500.0)]
+        right = [(1000 + gap + rng.uniform(0, 3) ** 2, 500 + rng.uniform(-3, 3)) for _ in range(120)] + [(1000.0 + gap, 500.0)]
+        rows = left + right
+        assert _labels(spark, rows, 10.0)[1] == _chained(rows, 10.0), gap
+
+
+def test_edges_of_a_dense_brand_stay_linear(spark):
+    """100,000 distinct points in a few cells: about one edge a point, and no pair of cells with more than its boxes."""
+    rng = random.Random(13)
+    rows = [(rng.uniform(0, 14.0), rng.uniform(0, 7.0)) for _ in range(100_000)]
+    edges, labels = _labels(spark, rows, 10.0)
+    assert set(labels) == {0}
+    assert edges < 1.01 * len(rows)
+
+
+def test_negative_coordinates_ties_and_repeats(spark):
+    rng = random.Random(14)
+    rows = [(rng.choice([-30.0, -20.0, -10.0, 0.0, 10.0, 13.0]), rng.choice([-20.0, -10.0, 0.0, 7.0, 10.0])) for _ in range(60)]
+    assert _labels(spark, rows, 10.0)[1] == _chained(rows, 10.0)
