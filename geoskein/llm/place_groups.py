@@ -169,7 +169,7 @@ def place_links(pois: DataFrame) -> DataFrame:
             F.col("geom_25832.x").alias("x"), F.col("geom_25832.y").alias("y"),
         )
     )
-    shared = shared_links(osm_objects(rows), ["snapshot_date", "osm_type", "osm_id"])
+    shared = shared_links(cut(osm_objects(rows)), ["snapshot_date", "osm_type", "osm_id"])
     named = rows.where("norm <> ''").withColumn("radius", metres(NAME_METRES)).withColumn("tie", F.concat(F.lit("name:"), "norm"))
     numbered = rows.where("qid <> ''").withColumn("radius", metres(WIKIDATA_METRES)).withColumn("tie", F.concat(F.lit("q:"), "qid"))
     tied = named.unionByName(numbered).select("vertex", "snapshot_date", "category", "tie", "radius", "x", "y")

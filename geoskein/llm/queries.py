@@ -117,19 +117,20 @@ where case when field_name = 'price_nightly' then greatest(a, b) > 1.5 * least(a
 """
 
 
+def _grouped(pois: DataFrame) -> DataFrame:
+    """(destination_key, group_key) of the rows that are tied to another one."""
+    rest = F.expr("substring(vertex, 2)")
+    return connected_components(place_links(pois)).select(rest.alias("destination_key"), F.expr("substring(component, 2)").alias("group_key"))
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every row of osm_pois with the smallest destination_key of its group."""
     pois = table(spark, d, "osm_pois")
-    labels = connected_components(place_links(pois))
-    rest = F.expr("substring(vertex, 2)")
-    grouped = labels.select(rest.alias("destination_key"), F.expr("substring(component, 2)").alias("group_key"))
-    return pois.select("destination_key").join(grouped, "destination_key", "left").select("destination_key", F.coalesce("group_key", "destination_key").alias("group_key"))
+    return pois.select("destination_key").join(_grouped(pois), "destination_key", "left").select("destination_key", F.coalesce("group_key", "destination_key").alias("group_key"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    grouped = cut(p4_groups(spark, d).distinct())
-    several = grouped.groupBy("group_key").count().where("count > 1").select("group_key")
-    return grouped.join(several, "group_key", "left_semi").select("destination_key", "group_key")
+    return _grouped(table(spark, d, "osm_pois"))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
