@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoskein.llm import quantiles as Q
 from geoskein.llm.canonical import map_to_entries
 from geoskein.llm.components import connected_components
-from geoskein.llm.encoding_repair import garbled_values, repair_records, stack_fields
+from geoskein.llm.encoding_repair import repair_records, stack_fields
 from geoskein.llm.mixing import mix, quality_weight, reached_shares
 from geoskein.llm.packing import bucket_report, pack_all
 from geoskein.llm.place_groups import place_links
@@ -30,16 +30,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Typed values with the entry they mean; garbled ones are restored before they are compared."""
+    """Typed values with the entry they mean, in SQL from the scan to the result."""
     entries = table(spark, d, "canonical_entries")
     typed = stack_fields(table(spark, d, "listings"), "source_row_number", TYPED_FIELDS).where(F.col("value").rlike(r"[^\s\p{Z}]"))
     exact = entries.select("field_name", F.col("canonical_value").alias("value")).distinct()
     distinct = typed.groupBy("field_name", "value").count().join(exact, ["field_name", "value"], "left_anti")
-    garbled = cut(garbled_values(typed.select("value")))
-    values = cut(
-        distinct.join(garbled, "value", "left").select("field_name", "value", F.coalesce("restored", "value").alias("text"))
-    )
-    found = cut(map_to_entries(values, entries))
+    found = cut(map_to_entries(cut(distinct.select("field_name", "value", F.col("value").alias("text"))), entries))
     return typed.join(found, ["field_name", "value"]).select("source_row_number", "field_name", "canonical_id").distinct()
 
 
