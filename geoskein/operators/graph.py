@@ -13,10 +13,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoskein.operators.components import components
+from geoskein.operators.folds import dense_numbers
 from geoskein.plans.session import cut, ship
 
 # Classes of ways on foot and the values of access tags.
@@ -30,6 +32,8 @@ FORBIDDEN = (
 )
 PERMITTED = ("yes", "designated", "permissive", "official")
 DENIED = ("no", "private", "restricted")
+DENIED_ACCESS = ("no", "private")
+ONE_WAY, ONE_WAY_BACK = ("yes", "1", "true"), ("-1", "reverse")
 WALK_METRES_PER_MINUTE = 80.0
 RADII = (800, 1200, 1600)
 
@@ -37,21 +41,21 @@ RADII = (800, 1200, 1600)
 def walking_directions(tag: Mapping[str, Column]) -> tuple[Column, Column]:
     """(forward, backward): whether a way may be walked in either direction, from its tags; absent tags are NULL columns.
 
-    The order of the rules: forbidden class or area, denied foot, denied access unless foot is permitted, then a class
-    that is walked by default or with explicit permission, then tags of one direction.  A oneway for vehicles is no rule.
+    Barred are ways without a class, of a forbidden class, areas, ways denied to walkers, and ways denied to everybody
+    that don't permit walkers.  Of the rest the classes walked by default are open, cycleways and their like only where
+    they permit walkers.  Each direction may be denied by a tag of its own.  A one-way for walkers, or else a moving
+    walkway, closes the other direction; being closed backward it is not closed forward too.  A one-way for vehicles
+    is no rule.
     """
     no = F.lit(None).cast("string")
-    get = lambda k: tag.get(k, no)
-    true = lambda c: F.coalesce(c, F.lit(False))
-    highway, foot, access = get("highway"), get("foot"), get("access")
-    permitted = true(foot.isin(*PERMITTED))
-    barred = highway.isNull() | true(highway.isin(*FORBIDDEN)) | true(get("area") == "yes") | true(foot.isin(*DENIED)) | (true(access.isin(*DENIED)) & ~permitted)
-    walkable = ~barred & (true(highway.isin(*DEFAULT_WALK)) | permitted)
-    one_way = get("oneway:foot")
-    conveying = get("conveying")
-    forward = ~true(get("foot:forward").isin(*DENIED)) & ~true(one_way == "-1") & ~true(conveying == "backward")
-    backward = ~true(get("foot:backward").isin(*DENIED)) & ~true(one_way.isin("yes", "1", "true")) & ~true(conveying == "forward")
-    return walkable & forward, walkable & backward
+    one_of = lambda key, values: F.coalesce(tag.get(key, no).isin(*values), F.lit(False))
+    highway = F.coalesce(tag.get("highway", no), F.lit(""))
+    permits = one_of("foot", PERMITTED)
+    barred = (highway == "") | highway.isin(*FORBIDDEN) | one_of("area", ("yes",)) | one_of("foot", DENIED) | (one_of("access", DENIED_ACCESS) & ~permits)
+    walkable = ~barred & (highway.isin(*DEFAULT_WALK) | (highway.isin(*EXPLICIT_FOOT_ONLY) & permits))
+    shut_backward = one_of("oneway:foot", ONE_WAY) | one_of("conveying", ("forward",))
+    shut_forward = ~shut_backward & (one_of("oneway:foot", ONE_WAY_BACK) | one_of("conveying", ("backward",)))
+    return walkable & ~one_of("foot:forward", DENIED) & ~shut_forward, walkable & ~one_of("foot:backward", DENIED) & ~shut_backward
 
 
 def way_segments(ways: DataFrame) -> DataFrame:
@@ -80,39 +84,14 @@ def arcs(segments: DataFrame, least_m: float = 0.01) -> DataFrame:
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node of each weakly connected component of the arcs (src, dst).
+    """(node, component): the smallest node of each weakly connected component of the arcs (src, dst)."""
+    return components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("vertex").alias("node"), "component")
 
-    Alternating large-star and small-star steps: each node links its larger, then its smaller neighbours to the
-    smallest one it knows; both are plain aggregates and converge in few rounds.  No node gathers its neighbours:
-    the minimum is combined map-side and joined back.
-    """
-    pairs = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
-
-    def large_star(e: DataFrame) -> DataFrame:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-
-    def small_star(e: DataFrame) -> DataFrame:
-        low = e.groupBy("b").agg(F.min("a").alias("m"))
-        joined = e.join(low, "b")
-        return joined.select(F.col("m").alias("a"), F.col("b")).union(joined.select(F.col("m"), F.col("a"))).toDF("a", "b").where("a <> b").distinct()
-
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    before = None
-    while (now := digest(pairs)) != before:
-        before = now
-        pairs = cut(small_star(large_star(pairs)))
-    return nodes.join(pairs.select(F.col("b").alias("node"), F.col("a").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def ranked_components(components: DataFrame) -> DataFrame:
+def ranked_components(labels: DataFrame) -> DataFrame:
     """(component, size, component_id): ids from 1 by falling size, equal sizes by the smaller node."""
-    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("component_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("size"), "component")).cast("long"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size")).withColumn("_falling", -F.col("size"))
+    return dense_numbers(sizes, ["_falling", "component"], "_n").select("component", "size", (F.col("_n") + 1).alias("component_id"))
 
 
 #: Arcs that are broadcast to the tasks (24 bytes each); larger graphs are relaxed in rounds.
@@ -171,9 +150,11 @@ def nearest_source(arcs_: DataFrame, seeds: DataFrame, keys: Sequence[str] = (),
 
     ``seeds`` (keys..., node, cost, source).  Equal distances go to the smaller source.  ``cutoff`` prunes the search.
     """
-    if _few_arcs(arcs_, arcs_in_task):
-        return _broadcast_search(arcs_, seeds.withColumn("cost", F.col("cost").cast("double")), list(keys), cutoff)
     by = [*keys, "node"]
+    if _few_arcs(arcs_, arcs_in_task):
+        # seeds of one node are one before they meet in a task
+        best = seeds.groupBy(*by).agg(F.min(F.struct(F.col("cost").cast("double").alias("cost"), "source")).alias("s")).select(*by, "s.cost", "s.source")
+        return _broadcast_search(arcs_, best, list(keys), cutoff)
     best_of = F.min(F.struct("distance", "source")).alias("best")
     limit = F.lit(True) if cutoff is None else F.col("distance") <= cutoff
     start = seeds.select(*by, F.col("cost").cast("double").alias("distance"), "source").where(limit)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,16 +20,17 @@ WIKIDATA_METRES = {"food_social": 100.0, "cultural_tourist": 150.0, "station": 5
 TYPE_ORDER = {"node": 0, "way": 1, "relation": 2}
 
 
-def transitive_duplicates(points: DataFrame, same_name_m: float = 3.0, unnamed_m: float = 0.5) -> DataFrame:
-    """(key, canonical_key, group_size) of points (key, name, x, y): chains of equal non-empty names within
-    ``same_name_m`` or of unnamed points within ``unnamed_m``; canonical is the smallest key."""
-    named = points.withColumn("name", F.coalesce("name", F.lit("")))
-    reach = max(same_name_m, unnamed_m)
-    left = named.select(F.col("key").alias("id"), "name", "x", "y")
-    right = named.select(F.col("key").alias("other_id"), "name", F.col("x").alias("other_x"), F.col("y").alias("other_y"))
-    pairs = within_distance(left, right, reach, ["name"]).where("id < other_id")
-    linked = pairs.where(((F.col("name") != "") & (F.col("distance") <= same_name_m)) | ((F.col("name") == "") & (F.col("distance") <= unnamed_m)))
-    groups = weak_components(linked.select(F.col("id").alias("src"), F.col("other_id").alias("dst")))
+def transitive_duplicates(points: DataFrame, same_name_m: float = 3.0, unnamed_m: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
+    """(key, canonical_key, group_size) of points (key, name, x, y, keys...): chains of equal non-empty names within
+    ``same_name_m`` or of unnamed points within ``unnamed_m``, of equal ``keys``; canonical is the smallest key."""
+    named = points.withColumn("name", F.coalesce("name", F.lit(""))).select("key", "name", "x", "y", *keys)
+
+    def linked(rows: DataFrame, metres: float) -> DataFrame:
+        left = rows.select(F.col("key").alias("id"), "name", "x", "y", *keys)
+        right = rows.select(F.col("key").alias("other_id"), "name", F.col("x").alias("other_x"), F.col("y").alias("other_y"), *keys)
+        return within_distance(left, right, metres, ["name", *keys]).where("id < other_id").select(F.col("id").alias("src"), F.col("other_id").alias("dst"))
+
+    groups = weak_components(linked(named.where("name <> ''"), same_name_m).unionByName(linked(named.where("name = ''"), unnamed_m)))
     labelled = points.select("key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("canonical_key"))
     labelled = cut(labelled)
     return labelled.join(labelled.groupBy("canonical_key").agg(F.count("*").alias("group_size")), "canonical_key").select("key", "canonical_key", "group_size")
@@ -44,7 +45,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
         F.array(F.when(F.col("norm") != "", F.concat(F.lit("n:"), "norm")), F.when(F.col("qid").isNotNull() & (F.col("qid") != ""), F.concat(F.lit("q:"), "qid"))),
         lambda t: t.isNotNull(),
     )
-    celled = rows.where("x is not null and y is not null").withColumn("_r", reach).select("key", "category", F.explode(ties).alias("tie"), F.floor(F.col("x") / F.col("_r")).alias("cx"), F.floor(F.col("y") / F.col("_r")).alias("cy"))
+    celled = rows.where("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumn("_r", reach).select("key", "category", F.explode(ties).alias("tie"), F.floor(F.col("x") / F.col("_r")).alias("cx"), F.floor(F.col("y") / F.col("_r")).alias("cy"))
     named = lambda cx, cy: F.concat_ws("|", F.lit("~cell"), "category", "tie", cx.cast("string"), cy.cast("string"))
     own = celled.select(F.col("key").alias("src"), named(F.col("cx"), F.col("cy")).alias("dst"))
     cells = celled.select("category", "tie", "cx", "cy").distinct()
@@ -55,28 +56,29 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _merge_block(pdf: pd.DataFrame, name_m: Mapping[str, float], number_m: Mapping[str, float]) -> pd.DataFrame:
-    order = pdf.assign(_t=pdf["osm_type"].map(TYPE_ORDER).fillna(9)).sort_values(["category", "_t", "osm_id", "key"])
-    chosen: list = []
-    by_tie: dict[tuple, list[int]] = {}
+    """Works a block through in order.  Canonical rows lie in a grid per tie: as they keep their distance, few share a cell."""
+    order = pdf.assign(rank=pdf["osm_type"].map(TYPE_ORDER).fillna(9)).sort_values(["category", "rank", "osm_id", "key"])
+    canonical: dict[tuple, list] = {}
     out = []
     for row in order.itertuples(index=False):
-        ties = [(row.category, kind, v) for kind, v in (("q", row.qid), ("n", row.norm)) if isinstance(v, str) and v]
-        best = None
-        for tie in ties:
-            limit = (number_m if tie[1] == "q" else name_m)[row.category]
-            for i in by_tie.get(tie, ()):
-                other = chosen[i]
+        best, own_cells = None, []
+        for kind, reason, value, metres in (("q", "same_wikidata_nearby", row.qid, number_m), ("n", "same_name_nearby", row.norm, name_m)):
+            if not isinstance(value, str) or not value:
+                continue
+            limit = metres[row.category]
+            cx, cy = math.floor(row.x / limit), math.floor(row.y / limit)
+            own_cells.append((row.category, kind, value, cx, cy))
+            near = (other for dx in (-1, 0, 1) for dy in (-1, 0, 1) for other in canonical.get((row.category, kind, value, cx + dx, cy + dy), ()))
+            for other in near:
                 if math.hypot(row.x - other.x, row.y - other.y) <= limit:
-                    reason = "same_wikidata_nearby" if tie[1] == "q" else "same_name_nearby"
-                    rank = (TYPE_ORDER.get(other.osm_type, 9), other.osm_id, 0 if tie[1] == "q" else 1)
+                    rank = (other.rank, other.osm_id, 0 if kind == "q" else 1, other.key)
                     if best is None or rank < best[0]:
                         best = (rank, other.key, reason)
         if best:
             out.append((row.key, best[1], best[2]))
             continue
-        for tie in ties:
-            by_tie.setdefault(tie, []).append(len(chosen))
-        chosen.append(row)
+        for cell in own_cells:
+            canonical.setdefault(cell, []).append(row)
         out.append((row.key, row.key, "canonical"))
     return pd.DataFrame(out, columns=["key", "canonical_key", "reason"])
 

@@ -14,7 +14,7 @@ from geoskein.operators import graph, resolve
 from geoskein.plans.session import cut, table
 
 WIDTH = 40
-RADII = (400, 800, 1200)
+RADII = graph.RADII
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -139,41 +139,67 @@ select case when minutes is null then 'unreachable' else 'reachable' end as stat
 """
 
 
+# Tag values drawn for each way from its key and the number of the tag; NULL is an absent tag.
+WALK_TAGS = {
+    "highway": ["footway", "residential", "cycleway", "motorway", "steps", "elevator", "busway", None, "platform", "escape", "bridleway", "primary"],
+    "foot": [None, "yes", None, "no", "designated", None, "restricted", "official", "customers"],
+    "access": [None, None, "private", "restricted", "no", "yes"],
+    "area": [None, None, None, "yes", "no"],
+    "oneway:foot": [None, None, "yes", "reverse", "-1", "1", "true", "no"],
+    "conveying": [None, None, None, "backward", "forward", "reversible"],
+    "foot:forward": [None, None, None, "no", "yes"],
+    "foot:backward": [None, None, None, None, "private", "yes"],
+}
+
+
 def walk_permissions(spark: SparkSession, d: str) -> DataFrame:
-    """Directions in which ways may be walked, for tags drawn from the parts by their keys."""
-    classes = ["footway", "residential", "cycleway", "motorway", "primary", "steps", "construction"]
-    foot = [None, "yes", "no", "designated", "private"]
-    access = [None, "private", "yes"]
-    one_way = [None, "yes", "-1", None]
-    pick = lambda values, step: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.floor(F.col("p_partkey") / step) % len(values) + 1).cast("int"))
-    tags = table(spark, d, "part").select("p_partkey", pick(classes, 1).alias("highway"), pick(foot, 7).alias("foot"), pick(access, 35).alias("access"), pick(one_way, 105).alias("oneway"))
-    forward, backward = graph.walking_directions({"highway": F.col("highway"), "foot": F.col("foot"), "access": F.col("access"), "oneway:foot": F.col("oneway")})
-    return tags.groupBy("highway", forward.alias("forward"), backward.alias("backward")).agg(F.count("*").alias("n"))
-
-
-_PICK = lambda values, step: f"([{', '.join('null' if v is None else repr(v) for v in values)}])[cast(floor(p_partkey / {step}) % {len(values)} + 1 as int)]"
-WALK_PERMISSIONS = f"""
-with t as (
-    select {_PICK(["footway", "residential", "cycleway", "motorway", "primary", "steps", "construction"], 1)} as highway, {_PICK([None, "yes", "no", "designated", "private"], 7)} as foot,
-           {_PICK([None, "private", "yes"], 35)} as access, {_PICK([None, "yes", "-1", None], 105)} as oneway from part),
-w as (select *, highway not in ('motorway', 'construction') and coalesce(foot not in ('no', 'private'), true) and (coalesce(access <> 'private', true) or coalesce(foot in ('yes', 'designated'), false))
-                and (highway <> 'cycleway' or coalesce(foot in ('yes', 'designated'), false)) as walk from t)
-select highway, walk and coalesce(oneway <> '-1', true) as forward, walk and coalesce(oneway <> 'yes', true) as backward, count(*) as n from w group by 1, 2, 3
-"""
+    """Directions in which ways may be walked, for tags drawn from the order lines by their keys."""
+    line = table(spark, d, "lineitem").select((F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("k"))
+    tags = {}
+    for i, (tag, values) in enumerate(WALK_TAGS.items()):
+        at = F.floor(F.col("k") * (2 * i + 3) / (i + 1)) % len(values)
+        tags[tag] = F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (at + 1).cast("int"))
+    forward, backward = graph.walking_directions(tags)
+    return line.groupBy(tags["highway"].alias("highway"), tags["foot"].alias("foot"), forward.alias("forward"), backward.alias("backward")).agg(F.count("*").alias("n"))
 
 
-def _named_pois(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "osm_pois").select(F.col("destination_key").alias("key"), F.concat_ws("|", F.col("snapshot_date").cast("string"), F.nullif(F.trim("name"), F.lit(""))).alias("name"), F.col("name").alias("raw"), "snapshot_date", F.col("geom_25832.x").alias("x"), F.col("geom_25832.y").alias("y"))
+def _drawn(i: int, tag: str, values: list) -> str:
+    listed = ", ".join("null" if v is None else f"'{v}'" for v in values)
+    return f"""([{listed}])[cast(floor(k * {2 * i + 3} / {i + 1}) % {len(values)} + 1 as int)] as {tag.replace(":", "_")}"""
+
+
+# Written from the order of the rules, one common table expression per step.
+WALK_PERMISSIONS = f"""
+with lines as (select l_orderkey * 7 + l_linenumber as k from lineitem),
+t as (select {", ".join(_drawn(i, tag, values) for i, (tag, values) in enumerate(WALK_TAGS.items()))} from lines),
+judged as (
+    select *, case
+        when highway is null or highway in ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'raceway', 'construction', 'proposed', 'abandoned', 'corridor', 'escape') then false
+        when area = 'yes' then false
+        when foot in ('no', 'private', 'restricted') then false
+        when access in ('no', 'private') and (foot is null or foot not in ('yes', 'designated', 'permissive', 'official')) then false
+        when highway in ('footway', 'pedestrian', 'path', 'steps', 'living_street', 'residential', 'service', 'unclassified', 'tertiary', 'tertiary_link',
+                         'secondary', 'secondary_link', 'primary', 'primary_link', 'track', 'road', 'platform') then true
+        when highway in ('cycleway', 'bridleway', 'busway') and foot in ('yes', 'designated', 'permissive', 'official') then true
+        else false end as walk,
+        case when oneway_foot in ('yes', '1', 'true') or conveying = 'forward' then 'forward'
+             when oneway_foot in ('-1', 'reverse') or conveying = 'backward' then 'backward' else 'both' end as way from t)
+select highway, foot, walk and way <> 'backward' and (foot_forward is null or foot_forward not in ('no', 'private', 'restricted')) as forward,
+       walk and way <> 'forward' and (foot_backward is null or foot_backward not in ('no', 'private', 'restricted')) as backward, count(*) as n
+from judged group by 1, 2, 3, 4
+"""
 
 
 def dedup_transitive(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of equal names within 200 m per snapshot, unnamed rows left out."""
-    return resolve.transitive_duplicates(_named_pois(spark, d).where("trim(raw) <> ''").select("key", "name", "x", "y"), same_name_m=200.0).where("group_size > 1")
+    """Chains of equal names within 200 m per snapshot, and of unnamed rows within 0.5 m."""
+    pois = table(spark, d, "osm_pois").select(F.col("destination_key").alias("key"), "snapshot_date", F.trim("name").alias("name"), F.col("geom_25832.x").alias("x"), F.col("geom_25832.y").alias("y"))
+    return resolve.transitive_duplicates(pois, same_name_m=200.0, keys=["snapshot_date"]).where("group_size > 1")
 
 
 DEDUP_TRANSITIVE = """
-with recursive p as (select destination_key as key, snapshot_date, trim(name) as name, geom_25832.x as x, geom_25832.y as y from osm_pois where trim(name) <> ''),
-e as (select a.key as a, b.key as b from p a join p b on a.snapshot_date = b.snapshot_date and a.name = b.name and a.key <> b.key and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 40000),
+with recursive p as (select destination_key as key, snapshot_date, coalesce(trim(name), '') as name, geom_25832.x as x, geom_25832.y as y from osm_pois),
+e as (select a.key as a, b.key as b from p a join p b on a.snapshot_date = b.snapshot_date and a.name = b.name and a.key <> b.key
+      and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= case when a.name = '' then 0.25 else 40000 end),
 lab(key, label) using key (key) as (
     select distinct a, a from e union
     select e.b, min(l.label) from lab l join e on l.key = e.a join recurring.lab r on r.key = e.b where l.label < r.label group by e.b)
