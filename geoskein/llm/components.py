@@ -18,110 +18,31 @@ keep a vertex with itself; repeated edges change nothing; edges with a NULL end
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from geoskein.plans.session import cut, ship
-
-EDGES_PER_CELL = 400_000
-#: Edges for which a cell of its own pays.
-LEAST_IN_CELL = 1_000
-
-
-def smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Union-find over edges of vertices 0..n-1: roots are linked to the smallest root met, paths are halved until flat."""
-    parent = np.arange(n)
-    while True:
-        ra, rb = parent[a], parent[b]
-        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-        open_ = low != high
-        if not open_.any():
-            return parent
-        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
-        np.minimum.at(parent, high, low)
-        while True:
-            above = parent[parent]
-            if np.array_equal(above, parent):
-                break
-            parent = above
 
+from geoskein.operators.components import EDGES_PER_CELL, LEAST_IN_CELL, components
 
-def local_forest(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(vertex, smallest vertex reached) for each vertex that isn't its own smallest."""
-    codes, names = pd.factorize(pd.concat([a, b], ignore_index=True), sort=True)
-    names = np.asarray(names)
-    root = smallest_reached(codes[: len(a)], codes[len(a) :], len(names))
-    moved = np.flatnonzero(root != np.arange(len(names)))
-    return names[moved], names[root[moved]]
 
+def on_grid(edges_per_cell: int, least_in_cell: int):
+    """Spreads edges (a, b), the smaller end first, over the cells of the grid."""
 
-def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Before any shuffle: each batch's edges become the forest they span."""
-    for batch in batches:
-        if len(batch):
-            x, root = local_forest(batch["a"], batch["b"])
-            yield pd.DataFrame({"a": root, "b": x})
-
-
-def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    x, root = local_forest(pdf["a"], pdf["b"])
-    own = np.unique(root)  # a representative tells the exchange that it is one
-    return pd.DataFrame({"x": np.concatenate([x, own]), "root": np.concatenate([root, own])})
-
+    def spread(edges: DataFrame, count: int) -> tuple[DataFrame, list[str], int]:
+        lanes = min(np.sqrt(edges.sparkSession.sparkContext.defaultParallelism), np.sqrt(count / least_in_cell))
+        blocks = max(1, int(np.ceil(max(lanes, np.sqrt(count / edges_per_cell)))))
+        block = lambda end: F.pmod(F.xxhash64(end), F.lit(blocks))
+        cells = edges.withColumn("row", block("a")).withColumn("col", block("b"))
+        if count <= edges_per_cell:  # so no cell is larger
+            return cells.withColumn("part", F.lit(0).cast("long")), ["row", "col", "part"], blocks * blocks
+        # at most blocks**2 sizes, a few hundred thousand for 10**11 edges
+        sizes = cells.groupBy("row", "col").agg(F.ceil(F.count("*") / edges_per_cell).alias("parts"))
+        cells = cells.join(sizes, ["row", "col"]).withColumn("part", F.pmod(F.xxhash64("b", "a"), "parts")).drop("parts")
+        return cells, ["row", "col", "part"], blocks * blocks
 
-def _gridded(edges: DataFrame, blocks: int, edges_per_cell: int, count: int) -> DataFrame:
-    """The edges, smaller end first, with the row, column and part of their cell."""
-    block = lambda end: F.pmod(F.xxhash64(end), F.lit(blocks))
-    cells = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).select("a", "b", block("a").alias("row"), block("b").alias("col"))
-    if count <= edges_per_cell:  # so no cell is larger
-        return cells.withColumn("part", F.lit(0).cast("long"))
-    # at most blocks**2 sizes, a few hundred thousand for 10**11 edges
-    sizes = cells.groupBy("row", "col").agg(F.ceil(F.count("*") / edges_per_cell).alias("parts"))
-    return cells.join(sizes, ["row", "col"]).withColumn("part", F.pmod(F.xxhash64("b", "a"), "parts")).drop("parts")
+    return spread
 
 
 def connected_components(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL, least_in_cell: int = LEAST_IN_CELL) -> DataFrame:
     """(vertex, component) for the edges (a, b) of any orderable key type."""
-    spark = edges.sparkSession
-    ship(spark)
-    kind = edges.schema["a"].dataType
-    pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    forest = T.StructType([T.StructField("x", kind), T.StructField("root", kind)])
-    given = edges.select("a", "b").where("a is not null and b is not null")
-    loops = cut(given.where("a = b").select(F.col("a").alias("vertex")).distinct())
-    open_ = cut(given.where("a <> b").mapInPandas(_reduce, pair))
-    count = open_.count()
-    rounds: list[DataFrame] = []
-    while count > 0:
-        lanes = min(np.sqrt(spark.sparkContext.defaultParallelism), np.sqrt(count / least_in_cell))
-        blocks = max(1, int(np.ceil(max(lanes, np.sqrt(count / edges_per_cell)))))
-        cells = _gridded(open_, blocks, edges_per_cell, count)
-        # an explicit number of partitions: few bytes, much work
-        reached = cells.repartition(blocks * blocks, "row", "col", "part").groupBy("row", "col", "part").applyInPandas(_cell, forest)
-        other = F.col("root") != F.col("x")
-        exchanged = cut(
-            reached.groupBy("x").agg(F.min("root").alias("parent"), F.collect_set(F.when(other, F.col("root"))).alias("roots"), F.max(~other).alias("stays")).where("size(roots) > 0")
-        )
-        rounds.append(exchanged.where("not stays").select("x", "parent"))
-        links = F.array_union(F.array_remove("roots", F.col("parent")), F.when(F.col("stays"), F.array("x")).otherwise(F.array().cast(T.ArrayType(kind))))
-        linked = exchanged.select(F.col("parent").alias("a"), F.explode(links).alias("b"))
-        open_ = linked.mapInPandas(_reduce, pair)
-        count = exchanged.agg(F.sum(F.size("roots") - 1 + F.col("stays").cast("int"))).first()[0] or 0  # at least the edges left
-    labels = None
-    for parents in reversed(rounds):
-        own = parents.select(F.col("x").alias("vertex"), F.col("parent").alias("component"))
-        if labels is not None:
-            last = labels.select(F.col("vertex").alias("component"), F.col("component").alias("final"))
-            own = own.join(last, "component", "left").select("vertex", F.coalesce("final", "component").alias("component")).unionByName(labels)
-            own = cut(own)
-        labels = own
-    if labels is None:
-        return loops.select("vertex", F.col("vertex").alias("component"))
-    # what represents a component never retired, so it has no label of its own yet
-    roots = labels.select(F.col("component").alias("vertex")).union(loops.join(labels, "vertex", "left_anti")).distinct()
-    return labels.unionByName(roots.select("vertex", F.col("vertex").alias("component")))
+    return components(edges, on_grid(edges_per_cell, least_in_cell))

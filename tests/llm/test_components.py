@@ -39,3 +39,10 @@ def test_strings_nulls_and_empty(spark):
     assert _run(spark, [("b", "a"), ("c", "b"), (None, "a"), ("æ", "z")], "string") == {"a": "a", "b": "a", "c": "a", "z": "z", "æ": "z"}
     assert _run(spark, []) == {}
     assert _run(spark, [(3, 3)]) == {3: 3}
+
+
+@pytest.mark.parametrize("least", [1, 50])
+def test_grids_of_many_cells_and_of_one_agree(spark, least):
+    rng = random.Random(6)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(700)] + [(2000, 2001 + i) for i in range(300)]
+    assert _run(spark, edges, least_in_cell=least) == _brute(edges) == _run(spark, edges, least_in_cell=10**9)
