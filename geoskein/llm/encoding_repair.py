@@ -4,8 +4,9 @@ Stages, all on distinct values so that a value repeated in a third of all rows c
 
 1. distinct values with a character above ASCII (map-side combined ``groupBy``), cut to the checkpoint folder;
 2. a Pandas UDF takes characters back to legacy bytes and runs the UTF-8 automaton over them (``mojibake.py``):
-   well-formed spans are decoded, layer by layer;
-3. confusions of two single-byte encodings leave no well-formed span.  Their candidates are decided by the corpus:
+   well-formed spans are decoded whole, layer by layer;
+3. confusions of two single-byte encodings leave no well-formed span, text changed to lower case a broken one.  Their
+   candidates are decided by the corpus:
    each changed word, in any case, must be at least ``min_ratio`` times as frequent restored as garbled (an equality
    join with the word counts of all values, no collected lexicon).  Where restoring takes signs out of a word,
    repeated rows of the garbled word do not count against it: more rows restored than garbled, and ``min_ratio``
@@ -45,9 +46,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fixed = M.repair_utf8(value)
             candidates = []
             if fixed is None:
-                for text, encoding in M.single_byte_candidates(value):
+                for text, encoding in [*M.single_byte_candidates(value), *M.lower_cased_candidates(value)]:
                     if changed := M.changed_words(value, text):
-                        candidates.append({"restored": text, "encoding": encoding, "before": [a for a, _ in changed], "after": [b for _, b in changed], "odder": [M._oddity(a)[:2] > M._oddity(b)[:2] for a, b in changed]})
+                        candidates.append({"restored": text, "encoding": encoding, "before": [a for a, _ in changed], "after": [b for _, b in changed], "odder": [M.strangeness(a) > M.strangeness(b) for a, b in changed]})
             rows.append((value, n, fixed and fixed[0], fixed and fixed[1], M.REPLACEMENT in value, M.mixed_script(value), M.words(value), candidates))
         yield pd.DataFrame(rows, columns=["value", "n", "restored", "encoding", "lost", "alien", "words", "candidates"])
 
@@ -96,7 +97,7 @@ def garbled_values(values: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame
         tried.join(asked.select(F.col("word").alias("before"), F.col("word_n").alias("before_n"), F.col("values_n").alias("before_values")), "before", "left")
         .join(asked.select(F.col("word").alias("after"), F.col("word_n").alias("after_n")), "after", "left")
         .join(spellings.select(F.col("word").alias("spelled"), F.col("word_n").alias("spelled_n")), "spelled", "left")
-        .withColumn("good", F.col("spelled_n").isNotNull() & F.coalesce((F.col("after_n") >= min_ratio * own) | more_rows, F.lit(False)))
+        .withColumn("good", (F.col("spelled_n").isNotNull() | F.col("encoding").endswith(M.LOWER)) & F.coalesce((F.col("after_n") >= min_ratio * own) | more_rows, F.lit(False)))
         .groupBy("value", "alien", "c", "restored", "encoding")
         .agg(F.min("good").alias("every"), F.max("good").alias("some"), F.min(F.coalesce("spelled_n", F.lit(0))).alias("support"))
         .where("every or (alien and some)")

@@ -1,17 +1,19 @@
 """Pure-Python core of the wrong-encoding repair (no Spark in this module).
 
-Text that was written as bytes in one encoding and decoded with another one is
-taken back to its bytes character by character.  A byte-structure automaton for
-UTF-8 then finds the maximal well-formed multibyte spans among those bytes and
-only these spans are decoded again; everything else stays as it is.
-
-Confusions between two single-byte encodings leave no byte structure behind, so
-for them the module only proposes candidates; the caller decides by evidence
-from the corpus (see ``encoding_repair.py``).
+Text that was written as bytes in one encoding and decoded with another one is taken back to its bytes character by
+character.  A byte-structure automaton for UTF-8 then finds the maximal well-formed multibyte spans among those bytes,
+and these spans are decoded whole; everything else stays as it is.  Only then is the outcome judged, word by word: a
+word is restored if it is less odd than before (``oddness``), otherwise none of its spans is.  As each layer makes
+the text less odd, layers are undone for as long as one is found.
+
+Confusions between two single-byte encodings leave no byte structure behind, and garbled text that was changed to
+lower case a broken one.  For them the module only proposes candidates; the caller decides by evidence from the corpus
+(see ``encoding_repair.py``).
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -19,10 +21,10 @@ from functools import lru_cache
 WRONG_DECODERS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1253")
 # Single-byte encodings in which the text may really have been written.
 TRUE_ENCODINGS = ("cp1252", "mac_roman", "cp850", "cp437")
-# Decoders for a script of their own: only accepted when no letter of the script stays outside the spans.
-SCRIPT_DECODERS = {"cp1251": "CYRILLIC", "cp1253": "GREEK"}
 REPLACEMENT = "�"
-MAX_LAYERS = 5
+#: Ends the name of an encoding whose text was changed to lower case after it was garbled.
+LOWER = ", lower case"
+_SPACES = re.compile(r"([ \t\r\n\f\v]+)")
 
 
 @lru_cache(maxsize=None)
@@ -33,8 +35,8 @@ def byte_map(decoder: str) -> dict[str, int]:
         try:
             out[bytes([b]).decode(decoder)] = b
         except UnicodeDecodeError:
-            pass
-    if decoder == "cp1252":
+            out.setdefault(chr(b), b)
+    if decoder == "cp1252":  # text read as ISO 8859-1 has the controls themselves
         for b in range(0x80, 0xA0):
             out.setdefault(chr(b), b)
     return out
@@ -75,106 +77,189 @@ def plausible(ch: str) -> bool:
     return unicodedata.category(ch)[0] == "L" and (0xC0 <= c <= 0x24F or 0x370 <= c <= 0x52F or 0x1E00 <= c <= 0x1FFF)
 
 
-def _decode_spans(text: str, decoder: str, folded: bool) -> tuple[str, int]:
-    """One layer: the text with every maximal well-formed span decoded, and how many spans there were."""
-    to_byte = byte_map(decoder)
-    bytes_: list[tuple[int, ...]] = []
-    for ch in text:
-        if ord(ch) < 0x80:
-            bytes_.append(())
-            continue
-        options = []
-        if ch in to_byte:
-            options.append(to_byte[ch])
-        if folded:  # the garbled text was lower-cased later: the capital stands for another byte
-            up = ch.upper()
-            if up != ch and len(up) == 1 and up in to_byte:
-                options.append(to_byte[up])
-        if ch == REPLACEMENT and len(undefined_bytes(decoder)) == 1:
-            options.append(undefined_bytes(decoder)[0])
-        bytes_.append(tuple(options))
-    out, i, spans, n = [], 0, 0, len(text)
+def _runs(options: list[tuple[int, ...]]) -> list[tuple[int, int, bytes]]:
+    """The automaton: (start, end, bytes) of the maximal runs of well-formed multibyte sequences.
+
+    Each character offers the bytes it may stand for.  The first lead byte that its followers complete is taken.
+    """
+    out: list[tuple[int, int, bytes]] = []
+    i, n = 0, len(options)
     while i < n:
-        hit = ""
-        for lead in bytes_[i]:
-            length = _lead_length(lead)
-            if not length or i + length > n:
-                continue
-            tail = []
-            for k in range(i + 1, i + length):
-                cont = [b for b in bytes_[k] if 0x80 <= b <= 0xBF]
-                if not cont:
-                    break
-                tail.append(cont[0])
-            if len(tail) != length - 1:
-                continue
-            try:
-                ch = bytes([lead, *tail]).decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if plausible(ch):
-                hit = ch.lower() if folded else ch
+        start, span = i, bytearray()
+        while i < n:
+            for lead in options[i]:
+                length = _lead_length(lead)
+                tail = [next((b for b in options[k] if 0x80 <= b <= 0xBF), None) for k in range(i + 1, min(n, i + length))]
+                if not length or len(tail) != length - 1 or None in tail:
+                    continue
+                sequence = bytes([lead, *tail])
+                try:
+                    sequence.decode("utf-8")  # overlong forms and surrogates are not well-formed
+                except UnicodeDecodeError:
+                    continue
+                span += sequence
                 i += length
                 break
-        if hit:
-            out.append(hit)
-            spans += 1
+            else:
+                break
+        if span:
+            out.append((start, i, bytes(span)))
         else:
-            out.append(text[i])
             i += 1
-    return "".join(out), spans
+    return out
+
 
+def _decoded(word: str, options: list[tuple[int, ...]]) -> str:
+    out, done = [], 0
+    for start, end, span in _runs(options):
+        out += [word[done:start], span.decode("utf-8")]
+        done = end
+    return "".join([*out, word[done:]])
 
-def _script_letters(text: str, script: str) -> int:
-    return sum(1 for ch in text if ord(ch) > 0x7F and unicodedata.name(ch, "").startswith(script))
 
+def _as_bytes(word: str, decoder: str) -> list[tuple[int, ...]]:
+    to_byte, lost = byte_map(decoder), undefined_bytes(decoder)
+    return [() if ord(ch) < 0x80 else (to_byte[ch],) if ch in to_byte else (lost[0],) if ch == REPLACEMENT and len(lost) == 1 else () for ch in word]
 
-def _oddity(text: str) -> tuple[bool, int, int, int]:
-    """Mixed scripts, signs that are no letters, letters beyond Latin-1, characters: less of them means more natural text."""
-    signs = sum(1 for ch in text if ord(ch) > 0x7F and ch != "\xa0" and not ch.isalpha())
-    rare = sum(1 for ch in text if ord(ch) > 0xFF and ch.isalpha())
-    return mixed_script(text), signs, rare, len(text)
+
+# Signs that may stand behind a letter or between two.
+_CLOSING = frozenset("’”»–—…")
+
+
+@lru_cache(maxsize=100_000)
+def _script(ch: str) -> str:
+    """The script of a letter by its name; Japanese and Chinese signs go together."""
+    name = unicodedata.name(ch, "")
+    first = name.split(" ", 1)[0].split("-", 1)[0]
+    return "EAST" if first in ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO", "KATAKANA-HIRAGANA", "IDEOGRAPHIC") else first
+
+
+@lru_cache(maxsize=100_000)
+def oddness(word: str) -> float:
+    """How unlikely the signs of a word are in natural text: 0 for plain letters, more for signs among them, mixed scripts and controls."""
+    scripts = {_script(ch) for ch in word if ch.isalpha()}
+    # a script of its own weighs once, however long the word is
+    out = 1.0 if len(scripts) == 1 and scripts != {"LATIN"} else 0.0
+    for i, ch in enumerate(word):
+        c = ord(ch)
+        if i and (c >= 0x80 or ord(word[i - 1]) >= 0x80):
+            # capitals after small letters, small letters after several capitals
+            if (ch.isupper() and word[i - 1].islower()) or (ch.islower() and i > 1 and word[i - 1].isupper() and word[i - 2].isupper()):
+                out += 1.5
+        if c < 0x80:
+            continue
+        kind = unicodedata.category(ch)
+        if kind in ("Cc", "Cn", "Co", "Cs") or ch == REPLACEMENT:
+            out += 4.0
+        elif kind[0] == "M":
+            out += 0.5 if _script(ch) == "COMBINING" or scripts == {_script(ch)} else 4.0
+        elif c in (0x200D, 0xFE0F):
+            out += 0.5
+        elif kind[0] == "L":
+            if _script(ch) == "LATIN":
+                out += (2.0 if c in (0xAA, 0xBA) else 0.0) if c <= 0xFF else 1.25 if c <= 0x17F or 0x1E00 <= c <= 0x1EFF else 3.0
+            elif len(scripts) > 1:
+                out += 3.0
+        elif ch in _CLOSING:
+            out += 1.0
+        elif kind == "So" and c >= 0x2600 and not 0x1F100 <= c <= 0x1F2FF:
+            out += 1.0
+        elif kind[0] == "P" and (i == 0 or not word[i - 1].isalnum()):
+            out += 1.0
+        else:
+            out += 3.0 if i and i + 1 < len(word) and word[i - 1].isalpha() and word[i + 1].isalpha() else 2.0
+    return out
+
+
+def _better(fixed: str, word: str) -> bool:
+    """Less odd; or as odd but shorter, where no letter beyond Latin-1 comes in."""
+    new, old = oddness(fixed), oddness(word)
+    return new < old or (new == old and len(fixed) < len(word) and all(ord(ch) <= 0xFF or not ch.isalpha() for ch in fixed))
+
+
+def _folded_options(word: str, decoder: str, both: bool) -> list[tuple[int, ...]]:
+    """Bytes of a lower-cased word: a capital's byte where it opens a sequence; elsewhere too, if ``both``."""
+    to_byte, out = byte_map(decoder), []
+    for ch in word:
+        own, up = to_byte.get(ch), to_byte.get(ch.upper()) if ch.upper() != ch else None
+        first = (up, own) if both or own is None or _lead_length(up or 0) else (own, up)
+        out.append(() if ord(ch) < 0x80 else tuple(b for b in first if b is not None))
+    return out
+
+
+def _lower_cased(word: str, decoder: str) -> str | None:
+    """A lower-case word whose capitals were garbled, if its signs say so: at least one goes, and only letters of Latin-1 come."""
+    for both in (False, True):
+        fixed = _decoded(word, _folded_options(word, decoder, both)).lower()
+        came = [ch for ch in fixed if ord(ch) > 0x7F]
+        if fixed != word and oddness(fixed) <= oddness(word) - 2 and all(0xDF <= ord(ch) <= 0xFF and ch.isalpha() for ch in came):
+            return fixed
+    return None
 
 
 def _layer(text: str) -> list[tuple[str, str]]:
     """Every (text, decoder) that one layer of decoding gives."""
-    out = []
+    out, lower = [], text == text.lower()
     for decoder in WRONG_DECODERS:
-        for folded in (False, True):
-            if folded and text != text.lower():
-                continue
-            fixed, spans = _decode_spans(text, decoder, folded)
-            if not spans:
-                continue
-            script = SCRIPT_DECODERS.get(decoder)
-            if script and _script_letters(fixed, script):
-                continue
-            out.append((fixed, decoder))
+        parts, changed = [], False
+        for word in _SPACES.split(text):
+            if not word.isascii():
+                fixed = _decoded(word, _as_bytes(word, decoder))
+                if fixed != word and _better(fixed, word):
+                    word, changed = fixed, True
+                elif lower and (fixed := _lower_cased(word, decoder)):
+                    word, changed = fixed, True
+            parts.append(word)
+        if changed:
+            out.append(("".join(parts), decoder))
     return out
 
 
 def repair_utf8(text: str) -> tuple[str, str] | None:
     """The text with UTF-8 read by a wrong decoder restored, and the layers ("utf-8 as cp1252" ...), or None if there is none.
 
-    Layers are followed for every decoder that leaves a well-formed span; the most natural text reached wins.
+    Layers are followed for every decoder that makes the text less odd; the least odd text reached wins, then the
+    shorter, then the smaller.  Text that ends with a control or a lost sign it did not begin with is no repair.
     """
-    best: tuple[tuple[bool, int, int, int], str, str] | None = None
-    frontier: list[tuple[str, tuple[str, ...]]] = [(text, ())]
-    for _ in range(MAX_LAYERS):
-        following: dict[str, tuple[str, ...]] = {}
-        for current, path in frontier:
+    best: tuple[tuple[float, int, str], str] | None = None
+    frontier: dict[str, str] = {text: ""}
+    seen = {text}
+    while frontier:
+        following: dict[str, str] = {}
+        for current, path in frontier.items():
             for fixed, decoder in _layer(current):
-                following.setdefault(fixed, (*path, f"utf-8 as {decoder}"))
-        for fixed, path in following.items():
-            rank = (_oddity(fixed), fixed, " / ".join(path))
-            if best is None or rank[0] < best[0]:
-                best = rank
-        frontier = [(t, p) for t, p in following.items() if not t.isascii()]
-        if not frontier:
-            break
-    if best is None or (best[0][0] and not mixed_script(text)):
+                if fixed in seen:
+                    continue
+                seen.add(fixed)
+                following[fixed] = f"{path} / utf-8 as {decoder}" if path else f"utf-8 as {decoder}"
+                rank = (sum(map(oddness, _SPACES.split(fixed))), len(fixed), fixed)
+                if best is None or rank < best[0]:
+                    best = (rank, following[fixed])
+        frontier = following
+    if best is None or mixed_script(best[0][2]) and not mixed_script(text):
+        return None
+    controls = lambda s: sum(unicodedata.category(ch) == "Cc" and ord(ch) > 0x7F for ch in s)
+    if controls(best[0][2]) and not controls(text):
         return None
-    return best[1], best[2]
+    return best[0][2], best[1]
+
+
+def lower_cased_candidates(text: str) -> list[tuple[str, str]]:
+    """(restored text, "utf-8 as cp1252, lower case") for lower-case text whose capitals would have stood for other bytes."""
+    if text != text.lower():
+        return []
+    seen: dict[str, str] = {}
+    for decoder in WRONG_DECODERS:
+        for both in (False, True):
+            fixed = "".join(w if w.isascii() else _decoded(w, _folded_options(w, decoder, both)).lower() for w in _SPACES.split(text))
+            if fixed != text and not any(unicodedata.category(ch) in ("Cc", "Cn", "Co") for ch in fixed if ord(ch) > 0x7F):
+                seen.setdefault(fixed, f"utf-8 as {decoder}{LOWER}")
+    return list(seen.items())
+
+
+def strangeness(text: str) -> tuple[bool, int]:
+    """Whether scripts are mixed, and the signs above ASCII that are no letters."""
+    return mixed_script(text), sum(1 for ch in text if ord(ch) > 0x7F and ch != "\xa0" and not ch.isalpha())
 
 
 def single_byte_candidates(text: str) -> list[tuple[str, str]]:

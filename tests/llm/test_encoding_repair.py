@@ -34,6 +34,40 @@ def test_mixed_spans_are_decoded_alone():
     assert M.repair_utf8("Amløse Ã˜st")[0] == "Amløse Øst"
 
 
+def _shown(text, decoder, times):
+    """UTF-8 bytes read by the decoder, bytes it leaves undefined as themselves."""
+    for _ in range(times):
+        text = "".join((bytes([b]).decode(decoder, "ignore") or chr(b)) if b >= 0x80 else chr(b) for b in text.encode("utf-8"))
+    return text
+
+
+SCRIPTS = ["naïve 😀", "東京", "안녕", "שלום", "Привет мир", "Ελλάδα", "ひらがな", "नमस्ते", "مرحبا", "สวัสดี", "Łódź Białystok", "It’s “ok” – 5 €", "3 °C"]
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 4])
+@pytest.mark.parametrize("decoder", ["latin-1", "cp1252", "cp437", "mac_roman"])
+def test_any_script_and_number_of_layers(decoder, times):
+    for text in SCRIPTS:
+        assert M.repair_utf8(_shown(text, decoder, times))[0] == text, text
+
+
+@pytest.mark.parametrize("text", [*SCRIPTS, "CAFÉ”", "Ö…", "SMÅ–", "Гёте", "é…", "Ñandú…", "Český Krumlov", "ŁÓDŹ…", "ÉTÉ»", "Ελλάς Ø", "한국어…", "são joão", "ação…", "ã”", "½ × 3"])
+def test_correct_text_of_any_script_stays(text):
+    assert M.repair_utf8(text) is None and M.repair_utf8(text.lower()) is None
+
+
+def test_spans_are_maximal_and_whole():
+    assert M._runs([(0xC3,), (0xB8,), (0xE6,), (0x9D,), (0xB1,), (), (0xE6,), (0x9D,)]) == [(0, 5, b"\xc3\xb8\xe6\x9d\xb1")]
+    assert M._runs([(0xED,), (0xA0,), (0x80,)]) == [] == M._runs([(0xC0,), (0x80,)])  # a surrogate, an overlong form
+
+
+def test_lower_case_needs_signs_or_evidence(spark):
+    assert M.repair_utf8("ã…lekistevej") is None
+    rows = ["Ålekistevej"] * 10 + ["ã…lekistevej", "ã…unknown"]
+    got = {r.value: (r.restored, r.encoding) for r in garbled_values(_values(spark, rows)).collect()}
+    assert got == {"ã…lekistevej": ("ålekistevej", "utf-8 as cp1252, lower case")}
+
+
 def _values(spark, rows):
     return spark.createDataFrame([(v,) for v in rows], "value string")
 
