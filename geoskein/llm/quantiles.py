@@ -3,7 +3,9 @@
 A sketch is a set of sorted buffers of at most ``k`` values, each value of a buffer standing for ``2**level`` values.
 Two buffers of one level merge and every second position is kept, alternately the odd and the even ones, as a buffer
 of the next level.  No randomness: each collapse widens a known bound on ranks, which the sketch carries as ``over``
-and ``under``.  After n values the bound is about n * log2(n / k) / (2 k).
+and ``under``.  A task's first collapse of n_i values adds at most n_i / k, so all of them n / k together, and each
+level of the merging tree n / (2 k): for t tasks the bound is about n * (1 + log2(t) / 2) / k.  The estimates inside
+the bound depend on how the rows are spread over tasks; ``exact_percentiles`` do not.
 
 Scale: every input partition is summed up to one sketch per group before anything is shuffled, so a group that holds a
 third of all rows costs a partition as much as any other.  Sketches are merged in a tree: first within
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoskein.plans.session import ship
+from geoskein.plans.session import cut, ship
 
 #: Values per buffer.
 K = 512
@@ -112,29 +114,34 @@ class Sketch:
                 self._keep(level + 1, merged[offset::2])
             level += 1
 
-    def brackets(self, pcts: list[float]) -> list[tuple[float, float, float]]:
-        """(lowest possible, estimate, highest possible) value of each percentile, interpolated as in percentile_cont."""
+    def _values(self) -> tuple[np.ndarray, np.ndarray]:
+        """The values held and the rank of each; equal values share the rank of the last of them."""
         parts = [(b, np.full(len(b), 1 << level, dtype=np.int64)) for level, held in self.buffers.items() for b in held]
         values = np.concatenate([p[0] for p in parts])
         order = np.argsort(values, kind="stable")
         values, rank = values[order], np.cumsum(np.concatenate([p[1] for p in parts])[order])
-        # equal values share the rank of the last of them
-        last = np.searchsorted(values, values, side="right") - 1
-        rank = rank[last]
+        return values, rank[np.searchsorted(values, values, side="right") - 1]
 
-        def at(target: float) -> float:
-            i = int(np.searchsorted(rank, target, side="left"))
-            return float(values[i]) if i < len(values) else self.highest
+    def _at(self, values: np.ndarray, rank: np.ndarray, target: float) -> float:
+        i = int(np.searchsorted(rank, target, side="left"))
+        return float(values[i]) if i < len(values) else self.highest
 
+    def at_rank(self, first: int, second: int | None = None) -> tuple[float, float]:
+        """(lowest possible value at rank ``first``, highest possible one at ``second`` or ``first``); equal without any error."""
+        values, rank = self._values()
+        low = self._at(values, rank, first - self.under) if self.under < first else self.lowest
+        return low, self._at(values, rank, (first if second is None else second) + self.over)
+
+    def brackets(self, pcts: list[float]) -> list[tuple[float, float, float]]:
+        """(lowest possible, estimate, highest possible) value of each percentile, interpolated as in percentile_cont."""
+        values, rank = self._values()
         out = []
         for pct in pcts:
             position = (self.n - 1) * pct / 100
             first, second = int(np.floor(position)) + 1, int(np.ceil(position)) + 1
-            low = at(first - self.under) if self.under < first else self.lowest
-            # with no error the order statistics themselves are known
-            high = at(second + self.over)
+            low, high = self.at_rank(first, second)
             share = position - np.floor(position)
-            estimate = at(first) * (1 - share) + at(second) * share
+            estimate = self._at(values, rank, first) * (1 - share) + self._at(values, rank, second) * share
             if not self.over and not self.under:
                 low = high = estimate
             out.append((low, estimate, high))
@@ -269,11 +276,23 @@ def percentiles(sketched: DataFrame, keys: list[str], pcts: list[int], k: int =
     return sketched.select(*names, *SKETCH_COLUMNS).mapInPandas(run, schema)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
-    """The exact percentile for each row of ``asked`` (keys..., field_name, pct, n, low, high), by its bracket.
+def _ranked(k: int):
+    """Bounds of the value at ``rank`` inside the sketch of each row."""
 
-    One pass counts what lies below the bracket and, value by value, what lies inside; both are combined map-side.
-    Only the distinct values inside a bracket, a share of the group given by the rank error, meet in one window.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [Sketch.of(row, k).at_rank(int(row.rank)) for row in batch.itertuples(index=False)]
+            yield pd.DataFrame({"t": batch["t"], "low": [b[0] for b in found], "high": [b[1] for b in found]})
+
+    return run
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], asked: DataFrame, k: int = K) -> DataFrame:
+    """The exact percentile for each row of ``asked`` (keys..., field_name, pct, n, low, high), narrowed from its bracket.
+
+    Each pass counts what lies below and at the ends of a bracket and sketches what lies strictly inside; the sketch
+    gives the next, narrower bracket, and a sketch of up to ``k`` values is exact.  So a pass divides the values in
+    question by about ``k``, and no group is ever ranked in one task.
     """
     names = [*keys, "field_name"]
     fields = [r[0] for r in asked.select("field_name").distinct().collect()]
@@ -281,19 +300,35 @@ def exact_percentiles(df: DataFrame, keys: list[str], asked: DataFrame) -> DataF
         return asked.select(*names, "pct").limit(0).withColumn("exact", F.lit(0.0))
     stacked = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("double").alias("value")) for f in fields])).alias("p"))
     stacked = stacked.select(*keys, "p.field_name", "p.value").where("value is not null and not isnan(value)")
-    on = [stacked[c].eqNullSafe(asked[c]) for c in names]
-    joined = stacked.join(asked, on).select(*[asked[c] for c in names], "pct", "n", "low", "high", "value").where("value <= high")
-    counted = joined.groupBy(*names, "pct", "n", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).agg(F.count("*").alias("times"))
-    w = Window.partitionBy(*names, "pct").orderBy(F.col("value").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("times").over(w)).where("value is not null")
     position = (F.col("n") - 1) * F.col("pct") / 100
-    first, second = F.floor(position) + 1, F.ceil(position) + 1
-    share = position - F.floor(position)
+    ranks = F.array(F.struct(F.lit(0).alias("second"), (F.floor(position) + 1).alias("rank")), F.struct(F.lit(1).alias("second"), (F.ceil(position) + 1).alias("rank")))
+    share = (position - F.floor(position)).alias("share")
+    targets = asked.select(*names, "pct", share, "low", "high", F.explode(ranks).alias("r")).select("*", "r.*").drop("r")
+    targets = cut(targets.withColumn("t", F.monotonically_increasing_id()))
+    open_, settled = targets.select("t", *names, "rank", "low", "high"), []
+    while True:
+        settled.append(open_.where("low = high").select("t", F.col("low").alias("value")))
+        open_ = open_.where("low < high")
+        if open_.isEmpty():
+            break
+        joined = stacked.join(open_, [stacked[c].eqNullSafe(open_[c]) for c in names]).select("t", "rank", "low", "high", "value").where("value <= high")
+        counted = joined.groupBy("t").agg(
+            F.first("rank").alias("rank"), F.first("low").alias("low"), F.first("high").alias("high"),
+            F.count_if(F.col("value") <= F.col("low")).alias("upto_low"), F.count_if(F.col("value") < F.col("high")).alias("below_high"),
+        )
+        inside = sketches(joined.where("value > low and value < high"), ["t"], ["value"], k)
+        within = counted.where("rank > upto_low and rank <= below_high").select("t", (F.col("rank") - F.col("upto_low")).alias("rank"))
+        bounds = inside.join(within, "t").select("t", "rank", *SKETCH_COLUMNS).mapInPandas(_ranked(k), "t long, low double, high double")
+        bounds = bounds.withColumnsRenamed({"low": "next_low", "high": "next_high"})
+        low = F.when(F.col("rank") <= F.col("upto_low"), F.col("low")).when(F.col("rank") > F.col("below_high"), F.col("high")).otherwise(F.col("next_low"))
+        high = F.when(F.col("rank") <= F.col("upto_low"), F.col("low")).when(F.col("rank") > F.col("below_high"), F.col("high")).otherwise(F.col("next_high"))
+        moved = counted.join(bounds, "t", "left").select("t", low.alias("low"), high.alias("high"))
+        open_ = cut(open_.drop("low", "high").join(moved, "t").select("t", *names, "rank", "low", "high"))
+    values = settled[0]
+    for other in settled[1:]:
+        values = values.unionByName(other)
+    by_part = lambda second: F.max(F.when(F.col("second") == second, F.col("value")))
     return (
-        ranked.groupBy(*names, "pct", "n")
-        .agg(
-            F.min(F.when(F.col("upto") >= first, F.col("value"))).alias("a"),
-            F.min(F.when(F.col("upto") >= second, F.col("value"))).alias("b"),
-        )
-        .select(*names, "pct", (F.col("a") * (1 - share) + F.col("b") * share).alias("exact"))
-    )
+        targets.join(values, "t").groupBy(*names, "pct", "share").agg(by_part(0).alias("a"), by_part(1).alias("b"))
+        .select(*names, "pct", (F.col("a") * (1 - F.col("share")) + F.col("b") * F.col("share")).alias("exact"))
+    )

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoskein.llm import quantiles as Q
 
@@ -45,3 +46,30 @@ def test_spark_sketches_nulls_skew_and_exact_refinement(spark):
     merged = Q.merge_to(sketched, ["day"], k=64)
     assert merged.first().n == 6002
     assert Q.percentiles(Q.sketches(df.limit(0), ["area"], ["v"]), ["area"], [50]).count() == 0
+
+
+def _exact(spark, rows, partitions, k):
+    df = spark.createDataFrame(rows, "g string, v double").repartition(partitions)
+    single = Q.percentiles(Q.sketches(df, ["g"], ["v"], k), ["g"], [1, 50, 90], k)
+    got = Q.exact_percentiles(df, ["g"], single.select("g", "field_name", "pct", "n", "low", "high"), k)
+    return {(r.g, r.pct): r.exact for r in got.collect()}
+
+
+def test_narrowing_is_exact_for_any_partitioning(spark):
+    """Ties at the ends of brackets, two-valued groups, a NULL group; sketches far too small to decide at once."""
+    rng = np.random.default_rng(17)
+    groups = {"a": rng.normal(size=3000).tolist(), "b": [1.0] * 700 + [2.0] * 701, "c": np.round(rng.exponential(5, 2000)).tolist(), None: [5.0, 7.0, 7.0], "d": [3.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("e", None)]
+    want = {(g, p): float(np.percentile(vs, p)) for g, vs in groups.items() for p in (1, 50, 90)}
+    for partitions in (1, 7):
+        got = _exact(spark, rows, partitions, 16)
+        assert set(got) == set(want)
+        assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_bound_follows_the_tree(spark, partitions):
+    n, k = 60_000, 128
+    df = spark.range(n).select(F.lit("x").alias("g"), (F.xxhash64("id") % 10**6).cast("double").alias("v")).repartition(partitions)
+    row = Q.percentiles(Q.sketches(df, ["g"], ["v"], k), ["g"], [50], k).first()
+    assert row.n == n and row.rank_error <= n * (1 + (1 + np.log2(partitions)) / 2) / k + 2 * k
