@@ -124,61 +124,62 @@ def boundary_within(points: DataFrame, areas: DataFrame, radius: float, keys: li
     return near.groupBy(*keys, "area_id").agg(F.min("distance").alias("distance"))
 
 
-def k_nearest(left: DataFrame, right: DataFrame, k: int, size: float, exclude_same_id: bool = False, keys: list[str] | None = None) -> DataFrame:
+def k_nearest(left: DataFrame, right: DataFrame, k: int, size: float, exclude_same_id: bool = False, keys: list[str] | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """(id, keys..., other_id, distance, rank): the k nearest of ``right`` (other_id, other_x, other_y) for each of ``left`` (id, x, y).
 
     With cells of width w all neighbours within w lie in the 3 x 3 cells around a point, so a row is settled once its
-    kth distance is at most w.  Three passes settle every row: width ``size``; four times that for the rows left; then
-    each row that is still open at the width which covers its distance from k points of its group, a bound on its kth
-    distance.  Candidates are cut to k in each task before the shuffle: by the aggregate for k = 1, else by the
-    planner's limit per window group.
+    kth distance is at most w, or w reaches over all points of its group.  Rows left open try the next width: four
+    times ``size``, then twice the last one.  First the right side is repeated into neighbouring cells, later the rows
+    left, which are few by then; frequent cells are split by a hash.  Candidates are cut to k in each task before the
+    shuffle: by the aggregate for k = 1, else by the planner's limit per window group.
     """
     keys = keys or []
     by = ["id", *keys]
-    skipped = 1 if exclude_same_id else 0
     other = cut(right.where(_usable("other_x", "other_y")).select("other_id", "other_x", "other_y", *keys))
-    # k points of each group (one more where the row itself may be among them)
-    few = other.withColumn("_k", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("other_id"))).where(F.col("_k") <= k + skipped)
-    few = few.groupBy(*keys).agg(F.collect_list(F.struct("other_x", "other_y")).alias("_few"))
     open_ = left.where(_usable("x", "y")).select("id", "x", "y", *keys)
+    ends = [F.min("other_x").alias("_x0"), F.max("other_x").alias("_x1"), F.min("other_y").alias("_y0"), F.max("other_y").alias("_y1")]
+    extent = other.groupBy(*keys).agg(*ends)
     if keys:
-        open_ = open_.join(few, keys)
+        open_ = open_.join(extent, keys)
     else:
-        row = few.first()
-        points = [F.struct(F.lit(float(p.other_x)).alias("other_x"), F.lit(float(p.other_y)).alias("other_y")) for p in (row["_few"] if row else [])]
-        if not points:
+        row = extent.first()
+        if row["_x0"] is None:
             return left.select("id", F.lit(None).cast(other.schema["other_id"].dataType).alias("other_id"), F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("rank")).limit(0)
-        open_ = open_.withColumn("_few", F.array(*points))
-    bound = F.array_max(F.transform("_few", lambda p: F.sqrt(geo.squared_distance(F.col("x"), F.col("y"), p["other_x"], p["other_y"]))))
-    open_ = open_.select("id", "x", "y", *keys, bound.alias("_bound"), F.size("_few").alias("_n"))
-
-    def near(rows: DataFrame, levels: list[int]) -> DataFrame:
-        """(by, near): up to k neighbours of rows (.., _level) found in the cells of the row's level."""
-        width = F.lit(float(size)) * F.pow(F.lit(4.0), F.col("_level"))
-        a = rows.withColumn("_cx", geo.cell(F.col("x"), width)).withColumn("_cy", geo.cell(F.col("y"), width))
-        b = other.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn("_o", F.explode(_offsets(1)))
-        b = b.withColumn("_cx", geo.cell(F.col("other_x"), width) + F.col("_o.dx")).withColumn("_cy", geo.cell(F.col("other_y"), width) + F.col("_o.dy")).drop("_o")
-        pairs = a.join(b, [*keys, "_level", "_cx", "_cy"])
+        open_ = open_.withColumns({c: F.lit(float(row[c])) for c in ("_x0", "_x1", "_y0", "_y1")})
+    across = F.greatest(F.abs(F.col("x") - F.col("_x0")), F.abs(F.col("x") - F.col("_x1")))
+    along = F.greatest(F.abs(F.col("y") - F.col("_y0")), F.abs(F.col("y") - F.col("_y1")))
+    open_ = open_.select("id", "x", "y", *keys, F.greatest(across, along).alias("_bound"))
+
+    def near(rows: DataFrame, width: float, repeat_right: bool) -> DataFrame:
+        """(by, _bound, near): up to k neighbours of each row found in the 3 x 3 cells of ``width`` around it."""
+        cells = lambda df, x, y: df.withColumn("_cx", geo.cell(F.col(x), width)).withColumn("_cy", geo.cell(F.col(y), width))
+        spread = lambda df: df.withColumn("_o", F.explode(_offsets(1))).withColumn("_cx", F.col("_cx") + F.col("_o.dx")).withColumn("_cy", F.col("_cy") + F.col("_o.dy")).drop("_o")
+        a, b = cells(rows, "x", "y"), cells(other, "other_x", "other_y")
+        if repeat_right:
+            a, b, on = salted(a, spread(b), [*keys, "_cx", "_cy"], rows_per_salt)
+        else:
+            b, a, on = salted(b, spread(a), [*keys, "_cx", "_cy"], rows_per_salt)
+        pairs = a.join(b, on)
         if exclude_same_id:
             pairs = pairs.where("id <> other_id")
-        pairs = pairs.select(*by, "other_id", "_n", width.alias("_w"), F.sqrt(geo.squared_distance(F.col("x"), F.col("y"), F.col("other_x"), F.col("other_y"))).alias("distance"))
+        pairs = pairs.select(*by, "other_id", "_bound", F.sqrt(geo.squared_distance(F.col("x"), F.col("y"), F.col("other_x"), F.col("other_y"))).alias("distance"))
         if k == 1:
-            least = pairs.groupBy(*by, "_n", "_w").agg(F.min(F.struct("distance", "other_id")).alias("m"))
-            return least.select(*by, "_n", "_w", F.array(F.struct(F.lit(1).alias("rank"), F.col("m.other_id").alias("other_id"), F.col("m.distance").alias("distance"))).alias("near"))
+            least = pairs.groupBy(*by, "_bound").agg(F.min(F.struct("distance", "other_id")).alias("m"))
+            return least.select(*by, "_bound", F.array(F.struct(F.lit(1).alias("rank"), F.col("m.other_id").alias("other_id"), F.col("m.distance").alias("distance"))).alias("near"))
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "other_id"))).where(F.col("rank") <= k)
-        return ranked.groupBy(*by, "_n", "_w").agg(F.sort_array(F.collect_list(F.struct("rank", "other_id", "distance"))).alias("near"))
+        return ranked.groupBy(*by, "_bound").agg(F.sort_array(F.collect_list(F.struct("rank", "other_id", "distance"))).alias("near"))
 
     found = []
-    for level in (0, 1):
-        tried = near(open_.withColumn("_level", F.lit(level)), [level])
-        settled = cut(tried.where((F.size("near") >= k) & (F.element_at("near", -1)["distance"] <= F.col("_w"))).select(*by, "near"))
+    width, tries = float(size), 0
+    while True:
+        tried = near(open_, width, tries < 2)
+        settled = cut(tried.where(((F.size("near") >= k) & (F.element_at("near", -1)["distance"] <= width)) | (F.col("_bound") <= width)).select(*by, "near"))
         found.append(settled)
-        open_ = open_.join(settled.select(*by), by, "left_anti")
-    last = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.col("_bound"), F.lit(1e-9)) / float(size)) + 1e-9).cast("int"))
-    open_ = cut(open_.withColumn("_level", last))
-    levels = sorted(r[0] for r in open_.select("_level").distinct().collect())  # powers of four: some dozens at most
-    if levels:
-        found.append(near(open_, levels).select(*by, "near"))
+        # what lies in reach of all points of its group is settled, also where it has no neighbour
+        open_ = cut(open_.where(F.col("_bound") > width).join(settled.select(*by), by, "left_anti"))
+        if open_.isEmpty():
+            break
+        width, tries = width * (4.0 if not tries else 2.0), tries + 1
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)

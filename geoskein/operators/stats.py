@@ -21,14 +21,17 @@ BINS = 1024
 def exact_percentiles(df: DataFrame, groups: Sequence[str], column: str, shares: Sequence[float], names: Sequence[str]) -> DataFrame:
     """(groups..., n, names...): exact interpolated percentiles of non-NULL values, without gathering a group in one task.
 
-    Rows become counts per distinct value, spread over (group, value).  A histogram of at most ``BINS`` equal-width
-    bins per group tells which bins hold the ranks asked for; only the distinct values of those bins are ranked.
+    Rows become counts per distinct value, spread over (group, value).  A histogram of at most ``BINS`` bins per group
+    tells which bins hold the ranks asked for; only the distinct values of those bins are ranked.  Bins are even on a
+    scale that is linear around the middle half of the distinct values and logarithmic beyond, so that single absurd
+    values don't press all others into one bin.
     """
     value = F.col(column).cast("double")
     counts = df.select(*groups, value.alias("_v")).where("_v is not null and not isnan(_v)").groupBy(*groups, "_v").agg(F.count("*").alias("_c"))
     counts = cut(counts)
     null_safe = list(groups)
-    ends = counts.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
+    middle = F.percentile_approx("_v", [0.25, 0.5, 0.75], 1000).alias("_m")
+    ends = counts.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"), middle)
 
     def joined(left: DataFrame, right: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in [*null_safe, *extra]})
@@ -37,11 +40,13 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], column: str, shares:
 
     if not groups:
         row = ends.first()
-        binned = counts.withColumns({"_lo": F.lit(row["_lo"]), "_hi": F.lit(row["_hi"]), "n": F.lit(row["n"])})
+        binned = counts.withColumns({"_lo": F.lit(row["_lo"]), "_hi": F.lit(row["_hi"]), "n": F.lit(row["n"]), "_m": F.lit(row["_m"])})
     else:
         binned = joined(counts, ends)
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (BINS - 1)).otherwise(0.0)
-    binned = binned.withColumn("_b", F.floor(width).cast("int")).drop("_lo", "_hi")
+    spread = F.greatest(F.col("_m")[2] - F.col("_m")[0], F.abs(F.col("_m")[1]) * 1e-9, F.lit(1e-300))
+    scaled = lambda c: F.asinh((F.col(c) - F.col("_m")[1]) / spread)
+    width = F.when(F.col("_hi") > F.col("_lo"), (scaled("_v") - scaled("_lo")) / (scaled("_hi") - scaled("_lo")) * (BINS - 1)).otherwise(0.0)
+    binned = binned.withColumn("_b", F.floor(F.coalesce(F.nanvl(width, F.lit(0.0)), F.lit(0.0))).cast("int")).drop("_lo", "_hi", "_m")
     w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
     histogram = binned.groupBy(*groups, "_b", "n").agg(F.sum("_c").alias("_bc"))  # at most BINS rows a group
     histogram = histogram.withColumn("_end", F.sum("_bc").over(w.orderBy("_b"))).withColumn("_start", F.col("_end") - F.col("_bc"))

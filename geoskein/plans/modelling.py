@@ -12,8 +12,7 @@ from geoskein.plans.session import cut, table
 from geoskein.sources.sinks import content_digest
 
 KEY = "row_key"
-BINS = [0.0, 250.0, 500.0, 1000.0, 2000.0]
-ALL_BINS = [*BINS, 4000.0, 8000.0]
+BINS = [0.0, 250.0, 500.0, 1000.0, 2000.0, 4000.0, 8000.0]
 #: Each row meets most rows of its snapshot, so cells of pairs to 8 km are split early.
 ROWS_PER_SALT = 1_000
 
@@ -113,17 +112,12 @@ select area, count(*) as n, case when count(*) >= 30 then round(corr(cast(a as d
 """
 
 
-def _valued_pois_all(spark: SparkSession, d: str) -> DataFrame:
+def _valued_pois(spark: SparkSession, d: str) -> DataFrame:
     value = F.coalesce(F.length("name"), F.lit(0)).cast("double")
     pois = table(spark, d, "osm_pois").where("geom_25832 is not null")
     return pois.select("snapshot_date", F.col("destination_key").alias("id"), F.col("geom_25832.x").alias("x"), F.col("geom_25832.y").alias("y"), value.alias("value"))
 
 
-def _valued_pois(spark: SparkSession, d: str) -> DataFrame:
-    """The one snapshot of the SQL of ``moran_i`` and ``distance_bins``."""
-    return _valued_pois_all(spark, d).where("snapshot_date = date'2011-05-02'").drop("snapshot_date")
-
-
 def _neighbours(pts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     other = pts.select(F.col("id").alias("other_id"), F.col("x").alias("other_x"), F.col("y").alias("other_y"), *keys)
@@ -131,31 +125,15 @@ def _neighbours(pts: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def moran_i(spark: SparkSession, d: str) -> DataFrame:
-    """Spatial autocorrelation of a value over eight nearest neighbours."""
+    """Spatial autocorrelation of a value over eight nearest neighbours, for every snapshot."""
     pts = cut(_valued_pois(spark, d))
-    out = stats.morans_i(pts.select("id", "value"), cut(_neighbours(pts)))
-    return out.select("n", F.round("i", 6).alias("i"), F.round("expected", 8).alias("expected"))
-
-
-_VALUED_SQL = "p as (select destination_key as id, geom_25832.x as x, geom_25832.y as y, cast(coalesce(length(name), 0) as double) as value from osm_pois where geom_25832 is not null and snapshot_date = '2011-05-02')"
-MORAN_I = f"""
-with {_VALUED_SQL},
-nn as (select * from (select a.id, b.value, row_number() over (partition by a.id order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) as k from p a join p b on a.id <> b.id) where k <= 8),
-m as (select avg(value) as m from p), lag as (select id, avg(value - m) as lag from nn, m group by 1)
-select count(*) as n, round(sum((value - m) * lag) / sum((value - m) ** 2), 6) as i, round(-1.0 / (count(*) - 1), 8) as expected from p join lag using (id), m
-"""
-
-
-def moran_i_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same statistic for every snapshot."""
-    pts = cut(_valued_pois_all(spark, d))
     out = stats.morans_i(pts.select("id", "value", "snapshot_date"), cut(_neighbours(pts, ["snapshot_date"])), ["snapshot_date"])
     return out.select("snapshot_date", "n", F.round("i", 6).alias("i"), F.round("expected", 8).alias("expected"))
 
 
-_VALUED_ALL_SQL = "p as (select snapshot_date, destination_key as id, geom_25832.x as x, geom_25832.y as y, cast(coalesce(length(name), 0) as double) as value from osm_pois where geom_25832 is not null)"
-MORAN_I_ALL = f"""
-with {_VALUED_ALL_SQL}, m as (select snapshot_date, avg(value) as m from p group by 1), z as (select p.*, value - m as z from p join m using (snapshot_date)),
+_VALUED_SQL = "p as (select snapshot_date, destination_key as id, geom_25832.x as x, geom_25832.y as y, cast(coalesce(length(name), 0) as double) as value from osm_pois where geom_25832 is not null)"
+MORAN_I = f"""
+with {_VALUED_SQL}, m as (select snapshot_date, avg(value) as m from p group by 1), z as (select p.*, value - m as z from p join m using (snapshot_date)),
 nn as (select * from (select a.id, b.z, row_number() over (partition by a.snapshot_date, a.id order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) as k from z a join z b on a.snapshot_date = b.snapshot_date and a.id <> b.id) where k <= 8),
 lag as (select id, avg(z) as lag from nn group by 1)
 select snapshot_date, count(*) as n, round(sum(z * lag) / sum(z ** 2), 6) as i, round(-1.0 / (count(*) - 1), 8) as expected from z join lag using (id) group by 1
@@ -164,45 +142,25 @@ select snapshot_date, count(*) as n, round(sum(z * lag) / sum(z ** 2), 6) as i,
 
 def moran_p(spark: SparkSession, d: str) -> DataFrame:
     """Two-sided permutation p of the same statistic for every snapshot."""
-    pts = cut(_valued_pois_all(spark, d))
+    pts = cut(_valued_pois(spark, d))
     return stats.moran_permutation_p(pts.select("id", "value", "snapshot_date"), cut(_neighbours(pts, ["snapshot_date"])), keys=["snapshot_date"])
 
 
 def distance_bins(spark: SparkSession, d: str) -> DataFrame:
-    """Mean standardised cross-products of near pairs by distance."""
-    pts = cut(_valued_pois(spark, d))
-    row = pts.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).first()
-    z = (F.col("value") - F.lit(row.m)) / F.lit(row.s)
-    left = pts.select("id", "x", "y", z.alias("z1"))
-    right = pts.select(F.col("id").alias("other_id"), F.col("x").alias("other_x"), F.col("y").alias("other_y"), z.alias("z2"))
-    pairs = spatial.within_distance(left, right, BINS[-1]).where("id < other_id")
-    out = stats.distance_bins(pairs, BINS)
-    return out.select("lower", "upper", "n", F.round("mean_product", 6).alias("mean_product"))
-
-
-DISTANCE_BINS = f"""
-with {_VALUED_SQL}, m as (select avg(value) as m, stddev_pop(value) as s from p),
-d as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as dist, (a.value - m) / s * (b.value - m) / s as product from p a join p b on a.id < b.id, m),
-b(lower, upper) as (values {", ".join(f"(cast({a} as double), cast({b} as double))" for a, b in zip(BINS, BINS[1:]))})
-select lower, upper, count(*) as n, round(avg(product), 6) as mean_product from d join b on dist >= lower and dist < upper group by 1, 2
-"""
-
-
-def distance_bins_all(spark: SparkSession, d: str) -> DataFrame:
     """Mean standardised cross-products of all pairs to 8 km by distance, for every snapshot."""
-    pts = cut(_valued_pois_all(spark, d))
+    pts = cut(_valued_pois(spark, d))
     moments = pts.groupBy("snapshot_date").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     scored = cut(pts.join(moments, "snapshot_date").select("snapshot_date", "id", "x", "y", F.try_divide(F.col("value") - F.col("m"), F.col("s")).alias("z1")))
     right = scored.select("snapshot_date", F.col("id").alias("other_id"), F.col("x").alias("other_x"), F.col("y").alias("other_y"), F.col("z1").alias("z2"))
-    pairs = spatial.within_distance(scored, right, ALL_BINS[-1], ["snapshot_date"], ROWS_PER_SALT).where("id < other_id")
-    out = stats.distance_bins(pairs, ALL_BINS, ["snapshot_date"])
+    pairs = spatial.within_distance(scored, right, BINS[-1], ["snapshot_date"], ROWS_PER_SALT).where("id < other_id")
+    out = stats.distance_bins(pairs, BINS, ["snapshot_date"])
     return out.select("snapshot_date", "lower", "upper", "n", F.round("mean_product", 6).alias("mean_product"))
 
 
-DISTANCE_BINS_ALL = f"""
-with {_VALUED_ALL_SQL}, m as (select snapshot_date, avg(value) as m, stddev_pop(value) as s from p group by 1), z as (select p.*, (value - m) / s as z from p join m using (snapshot_date)),
+DISTANCE_BINS = f"""
+with {_VALUED_SQL}, m as (select snapshot_date, avg(value) as m, stddev_pop(value) as s from p group by 1), z as (select p.*, (value - m) / s as z from p join m using (snapshot_date)),
 d as (select a.snapshot_date, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as dist, a.z * b.z as product from z a join z b on a.snapshot_date = b.snapshot_date and a.id < b.id),
-b(lower, upper) as (values {", ".join(f"(cast({a} as double), cast({b} as double))" for a, b in zip(ALL_BINS, ALL_BINS[1:]))})
+b(lower, upper) as (values {", ".join(f"(cast({a} as double), cast({b} as double))" for a, b in zip(BINS, BINS[1:]))})
 select snapshot_date, lower, upper, count(*) as n, round(avg(product), 6) as mean_product from d join b on dist >= lower and dist < upper group by 1, 2, 3
 """
 
@@ -309,11 +267,11 @@ def freeze_digest(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        fold_area, fold_random, fold_grouped, fold_hashed, fold_trim, support_range, spearman, moran_i, moran_i_all, moran_p, distance_bins, distance_bins_all, vif, ols_fold_metrics,
+        fold_area, fold_random, fold_grouped, fold_hashed, fold_trim, support_range, spearman, moran_i, moran_p, distance_bins, vif, ols_fold_metrics,
         train_mean_baseline, ols_hc3, ols_summary, grid_support, analysis_view, freeze_digest,
     )
 }
 SQL = {
-    "fold_area": FOLD_AREA, "fold_random": FOLD_RANDOM, "fold_trim": FOLD_TRIM, "support_range": SUPPORT_RANGE, "spearman": SPEARMAN, "moran_i": MORAN_I, "moran_i_all": MORAN_I_ALL, "distance_bins": DISTANCE_BINS, "distance_bins_all": DISTANCE_BINS_ALL,
+    "fold_area": FOLD_AREA, "fold_random": FOLD_RANDOM, "fold_trim": FOLD_TRIM, "support_range": SUPPORT_RANGE, "spearman": SPEARMAN, "moran_i": MORAN_I, "distance_bins": DISTANCE_BINS,
     "vif": VIF, "ols_fold_metrics": OLS_FOLD_METRICS, "train_mean_baseline": TRAIN_MEAN_BASELINE, "ols_hc3": OLS_HC3, "grid_support": GRID_SUPPORT, "analysis_view": ANALYSIS_VIEW,
 }

@@ -6,10 +6,12 @@ import glob
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoskein.plans.session import cut
+
 RESERVED = ("_source_file_id", "_source_row_number")
 MOST_NAME_BYTES = 63
 
@@ -58,9 +60,13 @@ def text_csv(spark: SparkSession, path: str, source_file_id: int, sep: str = ","
     df = df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]) if columns is None else df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names if n in set(columns)])
     df = df.withColumn(RESERVED[0], F.lit(source_file_id).cast("long"))
     if numbered:
-        # row numbers must be dense: an index over partitions, one light job, no shuffle
-        kept = df.schema
-        df = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1)).toDF(T.StructType([*kept.fields, T.StructField(RESERVED[1], T.LongType(), False)]))
+        # dense numbers in the order of the file: places within partitions, and an offset per partition
+        marked = cut(df.withColumn("_m", F.monotonically_increasing_id()))
+        per = marked.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_c"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = F.broadcast(per.select("_p", before.alias("_before")))  # a row per partition
+        place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+        df = marked.withColumn("_p", F.shiftright("_m", 33)).join(offsets, "_p").withColumn(RESERVED[1], F.col("_before") + place + 1).drop("_m", "_p", "_before")
     return df
 
 

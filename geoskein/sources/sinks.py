@@ -49,14 +49,25 @@ def insert_once(df: DataFrame, path: str) -> bool:
 
 
 def staged_write(df: DataFrame, path: str, checks: Mapping[str, Column]) -> None:
-    """Writes beside the target, checks the written rows, and only then puts them in place."""
+    """Writes beside the target, checks the written rows, and only then puts them in place.
+
+    The former table steps aside and goes only once the new one stands; if a rename fails it comes back.
+    """
     spark = df.sparkSession
-    staging = f"{path}.staging"
+    staging, aside = f"{path}.staging", f"{path}.former"
     df.write.mode("overwrite").parquet(staging)
     assert_checks(spark.read.parquet(staging), checks)
     fs, target = _fs(spark, path)
-    fs.delete(target, True)
-    fs.rename(_fs(spark, staging)[1], target)
+    former = _fs(spark, aside)[1]
+    fs.delete(former, True)
+    replaces = fs.exists(target)
+    if replaces and not fs.rename(target, former):
+        raise ContractError(f"{path} cannot be moved aside")
+    if not fs.rename(_fs(spark, staging)[1], target):
+        if replaces:
+            fs.rename(former, target)
+        raise ContractError(f"{staging} cannot be put in place")
+    fs.delete(former, True)
 
 
 def write_single_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:

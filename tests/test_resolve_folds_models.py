@@ -166,12 +166,12 @@ def test_moran_p_takes_every_snapshot(spark, small):
 
 
 def test_distance_bins_reach_8_km_in_every_snapshot(spark, tmp_path):
-    from geoskein.plans.modelling import distance_bins_all
+    from geoskein.plans.modelling import distance_bins
 
     day = dt.date(2011, 4, 4)
     rows = [(f"{g}{i}", day + dt.timedelta(14 * g), "n" * n, {"x": x, "y": 0.0}) for g in range(2) for i, (x, n) in enumerate([(0.0, 1), (3000.0, 2), (8000.0, 4), (8000.0 - 250.0, 5)])]
     spark.createDataFrame(rows, "destination_key string, snapshot_date date, name string, geom_25832 struct<x: double, y: double>").write.parquet(f"{tmp_path}/osm_pois.parquet")
-    got = {(r.snapshot_date, r.lower): (r.upper, r.n, r.mean_product) for r in distance_bins_all(spark, str(tmp_path)).collect()}
+    got = {(r.snapshot_date, r.lower): (r.upper, r.n, r.mean_product) for r in distance_bins(spark, str(tmp_path)).collect()}
     # apart: 3000, 7750, 5000, 4750, 250; the pair at 8000 lies outside
     z = (np.array([1, 2, 4, 5]) - 3) / np.std([1, 2, 4, 5])
     one = {250.0: (500.0, 1, z[2] * z[3]), 2000.0: (4000.0, 1, z[0] * z[1]), 4000.0: (8000.0, 3, (z[0] * z[3] + z[1] * z[2] + z[1] * z[3]) / 3)}

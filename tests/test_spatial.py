@@ -125,3 +125,18 @@ def test_projection_against_known_points(spark):
     assert abs(out[1][0] - 724400) < 500 and abs(out[1][1] - 6175800) < 500
     metres = df.select(geo.great_circle_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))).first()[0]
     assert abs(metres - 111195) < 1
+
+
+def test_k_nearest_with_outliers_and_split_cells(spark):
+    """A far point, groups smaller than k, and cells cut by a small salt, against all distances."""
+    rng = random.Random(21)
+    pts = [(i, "ab"[i % 2], rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(160)] + [(900, "a", 90_000.0, -70_000.0), (901, "c", 1.0, 1.0), (902, "c", 2.0, 2.0), (903, "a", None, 1.0)]
+    left = spark.createDataFrame(pts, "id long, g string, x double, y double")
+    right = left.selectExpr("id as other_id", "g", "x as other_x", "y as other_y")
+    got = {}
+    for r in spatial.k_nearest(left, right, 4, 10.0, exclude_same_id=True, keys=["g"], rows_per_salt=3).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.other_id))
+    usable = [p for p in pts if p[2] is not None]
+    for i, g, x, y in usable:
+        near = sorted((math.hypot(x - a, y - b), j) for j, h, a, b in usable if h == g and j != i)[:4]
+        assert sorted(got.get(i, [])) == [(n + 1, j) for n, (_, j) in enumerate(near)], i
