@@ -113,3 +113,30 @@ def clip_rate_batches(df: DataFrame, batch: str, good: Column, least: float) ->
     """The rows of the batches in which at least the share ``least`` of rows is good."""
     rate = df.groupBy(batch).agg(F.avg(F.coalesce(good, F.lit(False)).cast("double")).alias("_rate")).where(F.col("_rate") >= least)
     return df.join(rate.select(batch), batch, "left_semi")
+
+
+def update_from(df: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``df`` with ``columns`` taken from the row of ``updates`` with the same ``keys``; rows without one stay as they are.
+
+    NULLs of a matching row are taken as well, NULL keys match nothing.  Repeated keys in ``updates`` are refused,
+    as the outcome would depend on their order.
+    """
+    if not duplicate_keys(updates.dropna(subset=list(keys)), keys).isEmpty():
+        raise ContractError("the keys of an update repeat")
+    new = updates.select(*keys, F.struct(*columns).alias("_new"))
+    joined = df.join(new, list(keys), "left")
+    return joined.select(*[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def exclusive_sums(cells: DataFrame, groups: Sequence[str], keys: Sequence[str], value: str, conditions: Mapping[str, Column], expected: int | None = None) -> DataFrame:
+    """(groups..., cells, total, one sum per condition) over cells that exclude one another.
+
+    Refused are cells that repeat within a group, and groups of another number of cells than ``expected``.
+    """
+    if not duplicate_keys(cells, [*groups, *keys]).isEmpty():
+        raise ContractError("the cells of a group repeat")
+    sums = [F.sum(F.when(condition, F.col(value))).alias(name) for name, condition in conditions.items()]
+    out = cells.groupBy(*groups).agg(F.count("*").alias("cells"), F.sum(value).alias("total"), *sums)
+    if expected is not None and not out.where(F.col("cells") != expected).isEmpty():
+        raise ContractError("a group has another number of cells")
+    return out

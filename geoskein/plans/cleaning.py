@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoskein.functions import typed
+from geoskein.functions import tags, typed
 from geoskein.operators import quality, relational, stats
 from geoskein.plans.session import cut, table
 
@@ -197,6 +197,7 @@ s as (select {", ".join(f"count(*) filter ({' and '.join(_STAGES[: i + 1])}) as
 def property_rules(spark: SparkSession, d: str) -> DataFrame:
     """Records by the first rule that their property type meets."""
     p = F.col("property_type")
+    # The types and patterns of each rule.
     rules = [
         (p.isin("Entire rental unit", "Entire condo", "Entire home", "Entire townhouse", "Entire villa", "Entire loft"), RULE_ORDER[0]),
         (p.startswith("Private room") | p.startswith("Shared room"), RULE_ORDER[1]),
@@ -302,21 +303,22 @@ def tag_categories(spark: SparkSession, d: str) -> DataFrame:
     """Categories by tags, up to three per object, one row each."""
     pois = table(spark, d, "osm_pois").select("destination_key", F.from_json("tags", "map<string,string>").alias("t"))
     tag = lambda k: F.try_element_at("t", F.lit(k))
-    food = tag("amenity").isin("restaurant", "cafe", "bar", "pub")
-    culture = F.coalesce(tag("tourism").isin("museum", "gallery", "attraction", "viewpoint"), F.lit(False)) | F.coalesce(tag("amenity") == "theatre", F.lit(False)) | F.coalesce(tag("historic").isin("monument", "castle", "palace"), F.lit(False))
-    station = tag("name").isNotNull() & F.coalesce(tag("railway").isin("station", "halt"), F.lit(False))
+    food = tags.has(tag, "amenity", *tags.FOOD_AMENITIES)
+    culture = tags.has(tag, "tourism", *tags.CULTURE_TOURISM) | tags.has(tag, "amenity", *tags.CULTURE_AMENITIES) | tags.has(tag, "historic", *tags.CULTURE_HISTORIC)
+    station = tags.is_station(tag)
     labels = F.filter(F.array(F.when(food, "food_social"), F.when(culture, "cultural_tourist"), F.when(station, "station")), lambda x: x.isNotNull())
     return pois.select("destination_key", F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("destination_key").alias("objects"))
 
 
 TAG_CATEGORIES = """
 with t as (select destination_key, json_extract_string(tags, '$.amenity') as amenity, json_extract_string(tags, '$.tourism') as tourism,
-                  json_extract_string(tags, '$.historic') as historic, json_extract_string(tags, '$.railway') as railway, json_extract_string(tags, '$.name') as name
+                  json_extract_string(tags, '$.historic') as historic, json_extract_string(tags, '$.railway') as railway, json_extract_string(tags, '$.name') as name,
+                  json_extract_string(tags, '$.public_transport') as transport, json_extract_string(tags, '$.train') as train, json_extract_string(tags, '$.subway') as subway, json_extract_string(tags, '$.station') as station
            from osm_pois),
 l as (
     select destination_key, 'food_social' as label from t where amenity in ('restaurant', 'cafe', 'bar', 'pub')
     union all select destination_key, 'cultural_tourist' from t where tourism in ('museum', 'gallery', 'attraction', 'viewpoint') or amenity = 'theatre' or historic in ('monument', 'castle', 'palace')
-    union all select destination_key, 'station' from t where name is not null and railway in ('station', 'halt'))
+    union all select destination_key, 'station' from t where coalesce(name, '') <> '' and (railway in ('station', 'halt') or (transport = 'station' and (train = 'yes' or subway = 'yes' or station in ('subway', 'light_rail', 'train')))))
 select label, count(*) as n, count(distinct destination_key) as objects from l group by 1
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with a dict QUERIES of name -> callable and a dict SQL of name -> text.
-MODULES: list[str] = ["places", "cleaning", "joins", "access", "networks", "modelling", "robustness"]
+MODULES: list[str] = ["places", "cleaning", "joins", "access", "networks", "modelling", "robustness", "diagnostics"]
 
 
 def _all(name: str) -> dict:
