@@ -129,7 +129,7 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, size: float, exclude_sa
 
     With cells of width w all neighbours within w lie in the 3 x 3 cells around a point, so a row is settled once its
     kth distance is at most w, or w reaches over all points of its group.  Rows left open try the next width: four
-    times ``size``, then twice the last one.  First the right side is repeated into neighbouring cells, later the rows
+    times ``size``, then twice the last one, or the least distance of an open row from the extent of its group.  First the right side is repeated into neighbouring cells, later the rows
     left, which are few by then; frequent cells are split by a hash.  Candidates are cut to k in each task before the
     shuffle: by the aggregate for k = 1, else by the planner's limit per window group.
     """
@@ -148,7 +148,8 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, size: float, exclude_sa
         open_ = open_.withColumns({c: F.lit(float(row[c])) for c in ("_x0", "_x1", "_y0", "_y1")})
     across = F.greatest(F.abs(F.col("x") - F.col("_x0")), F.abs(F.col("x") - F.col("_x1")))
     along = F.greatest(F.abs(F.col("y") - F.col("_y0")), F.abs(F.col("y") - F.col("_y1")))
-    open_ = open_.select("id", "x", "y", *keys, F.greatest(across, along).alias("_bound"))
+    outside = F.greatest(F.col("_x0") - F.col("x"), F.col("x") - F.col("_x1"), F.col("_y0") - F.col("y"), F.col("y") - F.col("_y1"), F.lit(0.0))
+    open_ = open_.select("id", "x", "y", *keys, F.greatest(across, along).alias("_bound"), outside.alias("_least"))
 
     def near(rows: DataFrame, width: float, repeat_right: bool) -> DataFrame:
         """(by, _bound, near): up to k neighbours of each row found in the 3 x 3 cells of ``width`` around it."""
@@ -177,9 +178,11 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, size: float, exclude_sa
         found.append(settled)
         # what lies in reach of all points of its group is settled, also where it has no neighbour
         open_ = cut(open_.where(F.col("_bound") > width).join(settled.select(*by), by, "left_anti"))
-        if open_.isEmpty():
+        # nothing lies nearer than the extent of a row's group: the widths below that are passed over
+        least = open_.agg(F.min("_least")).first()[0]
+        if least is None:
             break
-        width, tries = width * (4.0 if not tries else 2.0), tries + 1
+        width, tries = max(width * (4.0 if not tries else 2.0), least), tries + 1
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
