@@ -15,14 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from geoskein.functions import geo
+from geoskein.operators import blocks
 from geoskein.plans.session import cut, ship
 
 ROWS_PER_SALT = 200_000
+#: Origins in one group of ``access``, and rows of a table that is made local.
+ROWS_PER_BLOCK, FEW_ROWS = 20_000, 10_000
 
 
 def salted(left: DataFrame, right: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -239,16 +245,136 @@ def ring_problems(areas: DataFrame) -> DataFrame:
 def count_within(origins: DataFrame, destinations: DataFrame, radii: list[int], categories: list[str], keys: list[str] | None = None) -> DataFrame:
     """Origins (id, x, y, keys...) with within_<radius>_<category> counts of destinations (other_id, other_x, other_y, category, keys...).
 
-    One join at the widest radius, inner radii as conditional sums that are combined before the shuffle; origins
-    without a usable point keep NULL, those without a destination 0.
+    Origins without a usable point keep NULL, those without a destination 0.
     """
-    keys = keys or []
-    pairs = within_distance(origins, destinations, float(max(radii)), keys)
-    sums = [F.count_if((F.col("distance") <= r) & (F.col("category") == c)).alias(f"within_{r}_{c}") for r in radii for c in categories]
-    counted = pairs.groupBy("id", *keys).agg(*sums)
-    out = origins.join(counted, ["id", *keys], "left")
+    return access(origins, destinations, radii, categories, keys)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """The same rows, as a local table while they are few, whose size the planner knows."""
+    rows = df.limit(FEW_ROWS + 1).collect()
+    return df if len(rows) > FEW_ROWS else df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def access(
+    origins: DataFrame, destinations: DataFrame, radii: list[int], categories: list[str], keys: list[str] | None = None, nearest: float = 0.0, rows_per_block: int = ROWS_PER_BLOCK
+) -> DataFrame:
+    """Origins (x, y, keys...) with counts of destinations within radii by category and, if ``nearest``, (other_id, distance) of the nearest.
+
+    Pairs are not listed.  Origins lie in blocks as wide as the widest radius (``nearest``, where that is wider), which meet
+    the destinations of 3 x 3 blocks in one group and are counted on arrays (``blocks``); crowded blocks are split by a
+    hash.  ``nearest`` bounds no distance: origins without a destination in 3 x 3 cells of a quarter of a block are few,
+    and their nearest is found beforehand by way of occupied cells (``_far``) and joins their group.
+    """
+    ship(origins.sparkSession)
+    keys, radii_m = keys or [], [float(r) for r in radii]
+    reach = max([*radii_m, float(nearest)])
+    fine = reach / 4
+    dest = destinations.where(_usable("other_x", "other_y")).select(
+        destinations["other_id"] if nearest else F.lit(0).alias("other_id"), "other_x", "other_y", F.col("category") if categories else F.lit(None).cast("string").alias("category"), *keys, F.lit(None).cast("double").alias("_far")
+    )
+    for c in keys:
+        dest = dest.where(F.col(c).isNotNull())
+    if not nearest:
+        dest = dest.where(F.col("category").isin(categories))
+    usable = _usable("x", "y")
+    a = origins.withColumn("_wx", F.when(usable, geo.cell(F.col("x"), fine))).withColumn("_wy", F.when(usable, geo.cell(F.col("y"), fine)))
+    occupied = cut(a.groupBy(*keys, "_wx", "_wy").agg(F.count("*").alias("_n")))  # rows: cells, not origins
+    block = [F.coalesce(F.floor(F.col(c) / 4).cast("long"), F.lit(0)).alias(n) for c, n in (("_wx", "_cx"), ("_wy", "_cy"))]
+    hot = occupied.select(*keys, *block, "_n").groupBy(*keys, "_cx", "_cy").agg(F.ceil(F.sum("_n") / rows_per_block).cast("int").alias("_parts")).where("_parts > 1")
+    hot = _few(hot)
+
+    def blocked(df: DataFrame, x: str, y: str) -> DataFrame:
+        return df.withColumn("_cx", geo.cell(F.col(x), reach)).withColumn("_cy", geo.cell(F.col(y), reach))
+
+    b = blocked(dest, "other_x", "other_y").withColumn("_o", F.explode(_offsets(1))).withColumns({"_cx": F.col("_cx") + F.col("_o.dx"), "_cy": F.col("_cy") + F.col("_o.dy")}).drop("_o")
+    if nearest:
+        far = _far(a, occupied, dest, keys, fine)
+        if far is not None:
+            b = b.unionByName(blocked(far, "other_x", "other_y").withColumn("category", F.lit(None).cast("string")))
+    on = [*keys, "_cx", "_cy"]
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = F.pmod(F.xxhash64("x", "y", F.monotonically_increasing_id()), parts).cast("int")
+    a = a.select("*", *block).drop("_wx", "_wy").join(hot, on, "left").withColumn("_salt", spread).drop("_parts")
+    b = b.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+
     names = [f"within_{r}_{c}" for r in radii for c in categories]
-    return out.withColumns({n: F.when(_usable("x", "y"), F.coalesce(n, F.lit(0))) for n in names})
+    added = [T.StructField(n, T.LongType()) for n in names]
+    if nearest:
+        added += [T.StructField("other_id", destinations.schema["other_id"].dataType), T.StructField("distance", T.DoubleType())]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in origins.schema), *added])
+    types = to_arrow_schema(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows
+        if not n:
+            return pa.table({f.name: pa.array([], f.type) for f in types}, schema=types)
+        px, py = (left[c].cast(pa.float64()).to_numpy(zero_copy_only=False) if left[c].null_count < n else np.full(n, np.nan) for c in ("x", "y"))
+        good = np.flatnonzero(~(np.isnan(px) | np.isnan(py)))
+        px, py = px[good], py[good]
+        if nearest and right.num_rows:
+            right = right.take(pc.sort_indices(right["other_id"]))
+        qx, qy, far = (right[c].to_numpy(zero_copy_only=False).astype(float) if right.num_rows else np.empty(0) for c in ("other_x", "other_y", "_far"))
+        here = np.isnan(far)
+        out = {}
+        for c in categories:
+            of = here & pc.fill_null(pc.equal(right["category"], c), False).to_numpy(zero_copy_only=False) if right.num_rows else here
+            counted = blocks.counts(px, py, qx[of], qy[of], radii_m)
+            for j, r in enumerate(radii):
+                whole = np.zeros(n, np.int64)
+                whole[good] = counted[:, j]
+                out[f"within_{r}_{c}"] = pa.array(whole, pa.int64(), mask=_not_in(good, n))
+        if nearest:
+            rows = np.flatnonzero(here)
+            at, distance = blocks.nearest(px, py, qx[rows], qy[rows], reach)
+            at = np.where(at >= 0, rows[at] if len(rows) else -1, -1)
+            known = {(qx[i], qy[i]): i for i in np.flatnonzero(~here)}
+            for i in np.flatnonzero(at < 0) if known else ():
+                at[i] = known.get((px[i], py[i]), -1)
+                distance[i] = far[at[i]] if at[i] >= 0 else np.nan
+            has = at >= 0
+            index, metres = np.zeros(n, np.int64), np.zeros(n)
+            index[good[has]], metres[good[has]] = at[has], distance[has]
+            none = _not_in(good[has], n)
+            out["other_id"] = right["other_id"].take(pa.array(index, mask=none)) if right.num_rows else pa.nulls(n, types.field("other_id").type)
+            out["distance"] = pa.array(metres, mask=none)
+        return pa.table({c: out[c] if c in out else left[c] for c in types.names}).cast(types)
+
+    group = [*on, "_salt"]
+    return a.groupBy(*group).cogroup(b.groupBy(*group)).applyInArrow(run, schema)
+
+
+def _not_in(rows: np.ndarray, n: int) -> np.ndarray:
+    out = np.ones(n, bool)
+    out[rows] = False
+    return out
+
+
+def _far(points: DataFrame, occupied: DataFrame, dest: DataFrame, keys: list[str], size: float) -> DataFrame | None:
+    """(other_id, other_x, other_y, keys..., _far): of the distinct points (x, y, _wx, _wy) without a destination in the 3 x 3
+    cells around them the nearest destination and its distance, beside the point itself; None if there are no such points.
+
+    A cell is passed over if its box begins farther away than the box of another cell ends.
+    """
+    d = dest.withColumn("_wx", geo.cell(F.col("other_x"), size)).withColumn("_wy", geo.cell(F.col("other_y"), size))
+    on = [*keys, "_wx", "_wy"]
+    ends = [f(c).alias(n) for c, low, high in (("other_x", "_x0", "_x1"), ("other_y", "_y0", "_y1")) for f, n in ((F.min, low), (F.max, high))]
+    cells = cut(d.groupBy(*on).agg(*ends))
+    around = cells.select(*keys, "_wx", "_wy").withColumn("_o", F.explode(_offsets(1))).select(*keys, (F.col("_wx") + F.col("_o.dx")).alias("_wx"), (F.col("_wy") + F.col("_o.dy")).alias("_wy")).distinct()
+    lone = _few(occupied.where("_wx is not null").select(*on).join(around, on, "left_anti"))
+    rows = cut(points.select("x", "y", *on).join(lone, on, "left_semi").select("x", "y", *keys).distinct())
+    if rows.isEmpty():
+        return None
+    boxes = rows.join(cells, keys) if keys else rows.crossJoin(cells)
+    gap = lambda c, low, high: F.greatest(F.col(low) - F.col(c), F.col(c) - F.col(high), F.lit(0.0))
+    wide = lambda c, low, high: F.greatest(F.abs(F.col(c) - F.col(low)), F.abs(F.col(c) - F.col(high)))
+    boxes = boxes.withColumn("_gap", F.hypot(gap("x", "_x0", "_x1"), gap("y", "_y0", "_y1"))).withColumn("_wide", F.hypot(wide("x", "_x0", "_x1"), wide("y", "_y0", "_y1")))
+    bound = boxes.groupBy("x", "y", *keys).agg(F.min("_wide").alias("_bound"))
+    tried = boxes.join(bound, ["x", "y", *keys]).where(F.col("_gap") * (1 - 1e-9) <= F.col("_bound") * (1 + 1e-9)).select("x", "y", *on)
+    pairs = tried.join(d.select("other_id", "other_x", "other_y", *on), on)
+    distance = F.sqrt(geo.squared_distance(F.col("x"), F.col("y"), F.col("other_x"), F.col("other_y")))
+    least = pairs.groupBy("x", "y", *keys).agg(F.min(F.struct(distance.alias("distance"), "other_id")).alias("m"))
+    return cut(least.select("m.other_id", F.col("x").alias("other_x"), F.col("y").alias("other_y"), *keys, F.col("m.distance").alias("_far")))
 
 
 def convex_hull(points: DataFrame) -> list[tuple[float, float]]:

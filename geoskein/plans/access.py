@@ -26,12 +26,9 @@ def _destinations(spark: SparkSession, d: str) -> DataFrame:
 
 def euclid_access(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: per record the destinations within three radii by category, and the nearest destination."""
-    points = cut(_listing_points(spark, d))
-    destinations = _destinations(spark, d)
-    counts = spatial.count_within(points, destinations, RADII, CATEGORIES, ["snapshot_date"])
-    nearest = spatial.k_nearest(points, destinations, 1, 400.0, keys=["snapshot_date"])
-    nearest = nearest.select("id", "snapshot_date", F.col("other_id").alias("nearest_key"), F.round("distance", 3).alias("nearest_m"))
-    return counts.join(nearest, ["id", "snapshot_date"], "left").drop("x", "y")
+    out = spatial.access(_listing_points(spark, d), _destinations(spark, d), RADII, CATEGORIES, ["snapshot_date"], nearest=400.0)
+    counts = [f"within_{r}_{c}" for r in RADII for c in CATEGORIES]
+    return out.select("id", "snapshot_date", *counts, F.col("other_id").alias("nearest_key"), F.round("distance", 3).alias("nearest_m"))
 
 
 EUCLID_ACCESS = f"""
