@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoskein.functions import tags as T
 from geoskein.operators import graph, relational, spatial, stats
 from geoskein.plans.access import _COVER_SQL, _EDGES_SQL, _areas, _destinations
-from geoskein.plans.access import EUCLID_ACCESS, euclid_access
+from geoskein.plans.access import CATEGORIES, EUCLID_ACCESS, RADII
 from geoskein.plans.networks import MULTI_SOURCE_NEAREST, multi_source_nearest, segments
 from geoskein.plans.places import POINTS_SQL, _listing_points
 from geoskein.plans.session import cut, table
@@ -89,10 +89,10 @@ def snap_flags(spark: SparkSession, d: str) -> DataFrame:
 
     A record within 400 m of the boundary is complete if the nearest destination is strictly nearer than that.
     """
-    points = cut(_listing_points(spark, d))
-    nearest = spatial.k_nearest(points, _destinations(spark, d), 1, 400.0, keys=["snapshot_date"]).select("id", "distance")
-    edge = spatial.boundary_within(points, _areas(spark, d), 400.0, ["id"]).groupBy("id").agg(F.min("distance").alias("edge_m"))
-    rows = points.select("id", "snapshot_date").join(nearest, "id", "left").join(edge, "id", "left")
+    points = _listing_points(spark, d)
+    nearest = spatial.access(points, _destinations(spark, d).withColumn("other_id", F.lit(0)), [], [], ["snapshot_date"], nearest=400.0)
+    edge = spatial.boundary_within(points.select("id", "x", "y"), _areas(spark, d), 400.0, ["id"]).groupBy("id").agg(F.min("distance").alias("edge_m"))
+    rows = nearest.select("id", "snapshot_date", "distance").join(edge, "id", "left")
     over = [F.count_if(F.col("distance") > m).alias(f"over_{m}_m") for m in SNAP_WARNINGS]
     complete = F.col("distance") < F.col("edge_m")
     out = rows.groupBy("snapshot_date").agg(F.count("*").alias("n"), *over, F.count_if(complete).alias("complete"), F.count_if(~complete).alias("incomplete"), F.count_if(complete.isNull()).alias("not_judged"))
@@ -169,23 +169,42 @@ def representation_difference(spark: SparkSession, d: str) -> DataFrame:
 
     A narrower count above the wider one is refused.
     """
-    wide = cut(euclid_access(spark, d))
-    parts = []
-    for category in ("food_social", "cultural_tourist"):
-        for small, large in ((800, 1200), (1200, 1600)):
-            pair = wide.select(F.lit(category).alias("category"), F.lit(f"{small}<{large}").alias("radii"), F.col(f"within_{small}_{category}").cast("double").alias("w"), F.col(f"within_{large}_{category}").cast("double").alias("e"))
-            parts.append(pair)
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    rows = cut(rows.where("w is not null"))
+    points = _listing_points(spark, d).select("snapshot_date", "x", "y")
+    wide = spatial.access(points, _destinations(spark, d), RADII, CATEGORIES, ["snapshot_date"])
+    kinds = [(c, small, large) for c in ("food_social", "cultural_tourist") for small, large in ((800, 1200), (1200, 1600))]
+    pairs = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"within_{s}_{c}").alias("w"), F.col(f"within_{l}_{c}").alias("e")) for i, (c, s, l) in enumerate(kinds)])
+    rows = wide.select(F.explode(pairs).alias("p")).where("p.w is not null").groupBy("p.kind", "p.w", "p.e").agg(F.count("*").alias("n"))
+    named = F.element_at(F.array(*[F.struct(F.lit(c).alias("category"), F.lit(f"{s}<{l}").alias("radii")) for c, s, l in kinds]), F.col("kind") + 1)
+    return representation(cut(rows)).select(named["category"].alias("category"), named["radii"].alias("radii"), "n", "different_share", "median_gap", "spearman")
+
+
+def representation(rows: DataFrame) -> DataFrame:
+    """(kind, n, different_share, median_gap, spearman) of distinct pairs of counts (kind, w, e) that come n times."""
     if not rows.where("w > e").isEmpty():
         raise relational.ContractError("a narrower count exceeds the wider one")
-    by = ["category", "radii"]
-    shares = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg((F.col("e") != F.col("w")).cast("double")), 6).alias("different_share"))
-    medians = stats.exact_percentiles(rows.withColumn("gap", F.col("e") - F.col("w")), by, "gap", (0.5,), ("median_gap",)).select(*by, "median_gap")
-    rho = stats.spearman(rows, "w", "e", by).select(*by, F.round("rho", 6).alias("spearman"))
-    return shares.join(medians, by).join(rho, by)
+    shares = rows.groupBy("kind").agg(F.sum("n").alias("total"), F.round(F.sum(F.when(F.col("e") != F.col("w"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("different_share"))
+
+    def upto(column: str) -> DataFrame:
+        """(kind, column, n, upto) of its distinct values, which are no more than the counts differ."""
+        values = rows.withColumn("gap", F.col("e") - F.col("w")).groupBy("kind", column).agg(F.sum("n").alias("n"))
+        return values.withColumn("upto", F.sum("n").over(Window.partitionBy("kind").orderBy(column)))
+
+    gaps = upto("gap").join(shares.select("kind", "total"), "kind")
+    at = [F.min(F.when(F.col("upto") >= F.floor((F.col("total") + k) / 2), F.col("gap"))) for k in (1, 2)]
+    medians = gaps.groupBy("kind").agg(((at[0] + at[1]) / 2).alias("median_gap"))
+
+    def ranks(column: str, name: str) -> DataFrame:
+        """Average ranks less their mean, which is the middle of all ranks."""
+        centred = F.col("upto") - (F.col("n") - 1) / 2 - (F.col("total") + 1) / 2
+        return cut(upto(column).join(shares.select("kind", "total"), "kind").select("kind", column, F.col("n").alias("_n"), centred.alias(name)))
+
+    a, b = ranks("w", "ra"), ranks("e", "rb")
+    squares = [r.groupBy("kind").agg(F.sum(F.col("_n") * F.col(c) * F.col(c)).alias(f"{c}2")) for r, c in ((a, "ra"), (b, "rb"))]
+    by_e = rows.join(a.drop("_n"), ["kind", "w"]).groupBy("kind", "e").agg(F.sum(F.col("n") * F.col("ra")).alias("s"))
+    cross = by_e.join(b, ["kind", "e"]).groupBy("kind").agg(F.sum(F.col("s") * F.col("rb")).alias("ab"))
+    out = shares.join(medians, "kind").join(cross, "kind").join(squares[0], "kind").join(squares[1], "kind")
+    rho = F.when(F.col("total") >= 30, F.round(F.try_divide(F.col("ab"), F.sqrt(F.col("ra2")) * F.sqrt(F.col("rb2"))), 6))
+    return out.select("kind", F.col("total").alias("n"), "different_share", "median_gap", rho.alias("spearman"))
 
 
 _PAIRS = " union all ".join(
