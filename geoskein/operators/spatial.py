@@ -365,12 +365,12 @@ def _far(points: DataFrame, occupied: DataFrame, dest: DataFrame, keys: list[str
     rows = cut(points.select("x", "y", *on).join(lone, on, "left_semi").select("x", "y", *keys).distinct())
     if rows.isEmpty():
         return None
-    boxes = rows.join(cells, keys) if keys else rows.crossJoin(cells)
+    with_boxes = lambda df: df.join(cells, keys) if keys else df.crossJoin(cells)
     gap = lambda c, low, high: F.greatest(F.col(low) - F.col(c), F.col(c) - F.col(high), F.lit(0.0))
     wide = lambda c, low, high: F.greatest(F.abs(F.col(c) - F.col(low)), F.abs(F.col(c) - F.col(high)))
-    boxes = boxes.withColumn("_gap", F.hypot(gap("x", "_x0", "_x1"), gap("y", "_y0", "_y1"))).withColumn("_wide", F.hypot(wide("x", "_x0", "_x1"), wide("y", "_y0", "_y1")))
-    bound = boxes.groupBy("x", "y", *keys).agg(F.min("_wide").alias("_bound"))
-    tried = boxes.join(bound, ["x", "y", *keys]).where(F.col("_gap") * (1 - 1e-9) <= F.col("_bound") * (1 + 1e-9)).select("x", "y", *on)
+    bound = cut(with_boxes(rows).groupBy("x", "y", *keys).agg(F.min(F.hypot(wide("x", "_x0", "_x1"), wide("y", "_y0", "_y1"))).alias("_bound")))
+    near = F.hypot(gap("x", "_x0", "_x1"), gap("y", "_y0", "_y1")) * (1 - 1e-9) <= F.col("_bound") * (1 + 1e-9)
+    tried = with_boxes(bound).where(near).select("x", "y", *on)
     pairs = tried.join(d.select("other_id", "other_x", "other_y", *on), on)
     distance = F.sqrt(geo.squared_distance(F.col("x"), F.col("y"), F.col("other_x"), F.col("other_y")))
     least = pairs.groupBy("x", "y", *keys).agg(F.min(F.struct(distance.alias("distance"), "other_id")).alias("m"))

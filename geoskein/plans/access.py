@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoskein.functions import geo
 from geoskein.operators import spatial
 from geoskein.plans.places import POINTS_SQL, _listing_points
-from geoskein.plans.session import cut, table
+from geoskein.plans.session import cut, once, table
 
 RADII = [800, 1200, 1600]
 CATEGORIES = ["food_social", "cultural_tourist"]
@@ -26,7 +26,7 @@ def _destinations(spark: SparkSession, d: str) -> DataFrame:
 
 def euclid_access(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: per record the destinations within three radii by category, and the nearest destination."""
-    out = spatial.access(_listing_points(spark, d), _destinations(spark, d), RADII, CATEGORIES, ["snapshot_date"], nearest=400.0)
+    out = spatial.access(once(_listing_points(spark, d), "x", "y"), _destinations(spark, d), RADII, CATEGORIES, ["snapshot_date"], nearest=400.0)
     counts = [f"within_{r}_{c}" for r in RADII for c in CATEGORIES]
     return out.select("id", "snapshot_date", *counts, F.col("other_id").alias("nearest_key"), F.round("distance", 3).alias("nearest_m"))
 

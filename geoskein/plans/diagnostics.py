@@ -11,7 +11,7 @@ from geoskein.plans.access import _COVER_SQL, _EDGES_SQL, _areas, _destinations
 from geoskein.plans.access import CATEGORIES, EUCLID_ACCESS, RADII
 from geoskein.plans.networks import MULTI_SOURCE_NEAREST, multi_source_nearest, segments
 from geoskein.plans.places import POINTS_SQL, _listing_points
-from geoskein.plans.session import cut, table
+from geoskein.plans.session import cut, once, table
 
 # Tag values drawn for each object from its key and the number of the tag; NULL is an absent tag.
 STATION_TAGS = {
@@ -89,8 +89,8 @@ def snap_flags(spark: SparkSession, d: str) -> DataFrame:
 
     A record within 400 m of the boundary is complete if the nearest destination is strictly nearer than that.
     """
-    points = _listing_points(spark, d)
-    nearest = spatial.access(points, _destinations(spark, d).withColumn("other_id", F.lit(0)), [], [], ["snapshot_date"], nearest=400.0)
+    points = once(_listing_points(spark, d), "x", "y")
+    nearest = spatial.access(points, _destinations(spark, d).withColumn("other_id", F.lit(0)), [], [], ["snapshot_date"], nearest=1600.0)
     edge = spatial.boundary_within(points.select("id", "x", "y"), _areas(spark, d), 400.0, ["id"]).groupBy("id").agg(F.min("distance").alias("edge_m"))
     rows = nearest.select("id", "snapshot_date", "distance").join(edge, "id", "left")
     over = [F.count_if(F.col("distance") > m).alias(f"over_{m}_m") for m in SNAP_WARNINGS]
@@ -169,7 +169,7 @@ def representation_difference(spark: SparkSession, d: str) -> DataFrame:
 
     A narrower count above the wider one is refused.
     """
-    points = _listing_points(spark, d).select("snapshot_date", "x", "y")
+    points = once(_listing_points(spark, d).select("snapshot_date", "x", "y"), "x", "y")
     wide = spatial.access(points, _destinations(spark, d), RADII, CATEGORIES, ["snapshot_date"])
     kinds = [(c, small, large) for c in ("food_social", "cultural_tourist") for small, large in ((800, 1200), (1200, 1600))]
     pairs = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"within_{s}_{c}").alias("w"), F.col(f"within_{l}_{c}").alias("e")) for i, (c, s, l) in enumerate(kinds)])
